@@ -31,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """That folder with its scheme, so that a task's file library finds the store that Spark means."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there, so that no later stage computes it again."""
     shared_dir(df.sparkSession)

@@ -7,10 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, quality, simhash, toxicity
+from siltstone.llm import decontaminate, mixing, quality, simhash, substrings, tokens, toxicity
 from siltstone.llm.common import table
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The path of a public tokenizer's file, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written to shards and read back."""
+    return tokens.read(tokens.write(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows that an earlier one has."""
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents to the sources' target weights."""
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -33,5 +55,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_toxicity, op8_simhash, op9_quality, op10_decontaminate)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_tokens, op2_substrings, op4_mixing, op7_toxicity, op8_simhash, op9_quality, op10_decontaminate)}
 ORACLE: dict[str, str] = {}

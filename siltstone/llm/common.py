@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,13 @@ WORD = rf"[^{SPACE}]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
+#: The folder that this package is imported from.
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``, whatever store the path is in."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # tasks import this package too
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,6 +32,7 @@ EXACT = 21
 ROTATIONS = (0, 21, 42)
 STEP = 4
 SLICE = 500_000
+NO_ID = -(1 << 63)
 
 
 def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -248,13 +249,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that share the id, one stays; of a component whose ids are all null, one row stays.
     """
-    # a null id is told from another by its text
-    alt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("alt")
-    rows = components(docs, [alt])
-    chosen = rows.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "alt").distinct()
-    nameless = rows.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("alt").alias("alt"))
-    chosen = chosen.union(nameless.select(F.lit(None).cast("long"), "alt"))
-    keyed = docs.withColumn("__alt", alt)
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("alt").alias("__a")).distinct()
-    kept = keyed.join(chosen, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed["__alt"] == F.col("__a")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__alt"]).drop("__alt")
+    # a null id is told from another by its text; keys that are never null let the last step keep the join's partitions
+    alt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    rows = components(docs, [alt.alias("alt")])
+    chosen = rows.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "alt")
+    nameless = rows.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("alt").alias("alt")).select(F.lit(NO_ID).alias("doc_id"), "alt")
+    chosen = chosen.union(nameless).select(F.col("doc_id").alias("__id"), F.col("alt").alias("__a")).distinct()
+    keyed = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__alt": alt})
+    kept = keyed.join(chosen, (F.col("__i") == F.col("__id")) & (F.col("__alt") == F.col("__a")), "left_semi")
+    return kept.dropDuplicates(["__i", "__alt"]).select(*docs.columns)

@@ -19,9 +19,11 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from siltstone.llm.common import column, map_batches
 
@@ -168,9 +170,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark window."""
-    import pandas as pd
-    from pyspark.sql.types import BooleanType
-
     shipped = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks(benchmark)]
 
     @F.pandas_udf(BooleanType())

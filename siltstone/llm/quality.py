@@ -1,11 +1,11 @@
 """Quality rules whose cutoffs come from labelled holdouts with exact binomial bounds.
 
 Features of a document are plain SQL expressions. Within each stratum (language) and for each ratio a grid of
-cutoffs is tested: rejecting above a cutoff is safe if, were the true share of good documents rejected ``alpha`` or more, so few
-rejections among the labelled good ones would have a probability of at most ``delta`` divided by the number of
-tests (Bonferroni over strata, ratios and grid). The strictest safe cutoff is used, and none where no cutoff is
-safe: then the ratio rejects nothing in that stratum. ``alpha`` is shared out among the ratios, so their union
-keeps the bound.
+cutoffs is tested, from the highest down: rejecting above a cutoff is safe if, were the true share of good documents
+rejected ``alpha`` or more, so few rejections among the labelled good ones would have a probability of at most ``delta``
+divided by the number of strata and ratios (Bonferroni). The first cutoff that isn't safe ends the sequence, so the
+grid needs no further correction; the last safe one is used. Where none is safe the ratio rejects nothing in that
+stratum. ``alpha`` is shared out among the ratios, so their union keeps the bound.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own;
 a null doc_id is judged but never joined to a label; repeated rows are judged alike; ties at a cutoff are kept
@@ -100,13 +100,13 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: floa
     held = held.select(F.col(stratum).alias("stratum"), *(F.expr(e).alias(r) for r, e in RATIOS.items()))
     above = [F.count_if(F.col(r) > g).alias(f"{r}_{i}") for r in RATIOS for i, g in enumerate(GRID)]
     counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *above).where(F.col("n") >= least).collect()
-    tests = len(counts) * len(RATIOS) * len(GRID)
-    found = {}
+    level, found = delta / max(1, len(counts) * len(RATIOS)), {}
     for row in counts:
         for r in RATIOS:
-            passing = [g for i, g in enumerate(GRID) if safe(row[f"{r}_{i}"], row["n"], alpha / len(RATIOS), delta / tests)]
-            if passing:
-                found[row["stratum"], r] = min(passing)
+            for i, g in reversed([*enumerate(GRID)]):
+                if not safe(row[f"{r}_{i}"], row["n"], alpha / len(RATIOS), level):
+                    break
+                found[row["stratum"], r] = g
     return found
 
 

@@ -156,20 +156,13 @@ LINKS = "u long, v long"
 def _links(depth: int, chunk: int):
     """Walks all whole groups of about ``chunk`` rows at once; a partition's rows come sorted."""
 
-    def joined(path: pa.Array, frame: dict[str, np.ndarray]) -> pa.RecordBatch:
-        codes = np.cumsum(np.r_[0, frame["new"][1:]])
-        left, right = _walk(codes, frame["side"], frame["err"], frame["r"], depth)
-        u, v = _stars(left, right, frame["fp"])
+    def whole(path: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.r_[0, path[1:] != path[:-1]])
+        order = np.lexsort((r.view(np.uint64), side, group))  # signed order is the wrong one for a trie
+        left, right = _walk(group[order], side[order], err[order], r.view(np.uint64)[order], depth)
+        u, v = _stars(left, right, fp[order])
         return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    def whole(path: np.ndarray, side, err, r, fp) -> pa.RecordBatch:
-        new = np.r_[1, path[1:] != path[:-1]].astype(np.int64)
-        # signed order is the wrong one for a trie
-        order = np.lexsort((r.view(np.uint64), side, np.cumsum(new)))
-        codes = np.cumsum(new)
-        frame = {"new": np.diff(np.r_[0, codes[order]]).astype(bool).astype(np.int64), "side": side[order], "err": err[order], "r": r.view(np.uint64)[order], "fp": fp[order]}
-        return joined(None, frame)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         rows = 0
@@ -233,14 +226,14 @@ def connect(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def components(docs: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """doc_id (with ``extra`` columns), fp and component_id of every row of ``docs``."""
+    """doc_id (with ``extra`` columns), fp, root (the component's smallest fingerprint) and component_id of every row of ``docs``."""
     rows = cut(docs.select("doc_id", *(extra or []), fingerprint(docs["text"]).alias("fp")))
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     linked = connect(links(fps.select("fp")))
     rooted = fps.join(linked, fps["fp"] == linked["u"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     rooted = cut(rooted)
     of_root = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(of_root, "root").select("fp", "component_id")
+    classes = rooted.join(of_root, "root").select("fp", "root", "component_id")
     return rows.join(classes, "fp", "left")
 
 
@@ -249,12 +242,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that share the id, one stays; of a component whose ids are all null, one row stays.
     """
-    # a null id is told from another by its text; keys that are never null let the last step keep the join's partitions
-    alt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
-    rows = components(docs, [alt.alias("alt")])
-    chosen = rows.where(F.col("doc_id") == F.col("component_id")).select("doc_id", "alt")
-    nameless = rows.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min("alt").alias("alt")).select(F.lit(NO_ID).alias("doc_id"), "alt")
-    chosen = chosen.union(nameless).select(F.col("doc_id").alias("__id"), F.col("alt").alias("__a")).distinct()
-    keyed = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__alt": alt})
-    kept = keyed.join(chosen, (F.col("__i") == F.col("__id")) & (F.col("__alt") == F.col("__a")), "left_semi")
-    return kept.dropDuplicates(["__i", "__alt"]).select(*docs.columns)
+    # rows that share an id are told apart by their text; keys that are never null let the last step keep the join's partitions
+    keys = {"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64("text")}
+    rows = components(docs, [keys["__t"].alias("t")])
+    chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("t").alias("__a"))
+    chosen = chosen.select(F.coalesce("component_id", F.lit(NO_ID)).alias("__id"), "__a")
+    kept = docs.withColumns(keys).join(chosen, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__a")), "left_semi")
+    return kept.dropDuplicates(["__i", "__t"]).select(*docs.columns)

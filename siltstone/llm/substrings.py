@@ -80,13 +80,14 @@ class Batch:
     """The words of a batch's documents one after another, and the windows that lie within one document."""
 
     def __init__(self, ids: list, texts: list):
-        words = [(t or b"").split() for t in texts]
+        # a document's words are held as hashes only
+        hashes = [np.fromiter(map(xxhash.xxh64_intdigest, (t or b"").split()), np.uint64) for t in texts]
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for d in words for w in d), np.uint64)
-        lengths = np.array([len(d) for d in words], np.int64)
+        self.hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        lengths = np.array([len(d) for d in hashes], np.int64)
         self.first = np.r_[0, np.cumsum(lengths)]
         inner = np.maximum(lengths - WINDOW + 1, 0)
-        self.doc = np.repeat(np.arange(len(words)), inner)
+        self.doc = np.repeat(np.arange(len(hashes)), inner)
         self.at = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)  # the window's start within its document
         self.place = self.at + self.first[self.doc]
 

@@ -22,6 +22,8 @@ shard; extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,18 +40,20 @@ from siltstone.llm.common import cut, parts, shared_uri
 MAGIC = b"TOKSHRD1"
 END_ID = 2
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 200_000
+CACHED_PIECES = 300_000
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them.
 
-    Byte-level pre-tokenizers always cut before a single space between two characters that aren't white space, so
-    the pieces between such spaces are encoded on their own and the frequent ones kept; a text with other white space at
-    a piece's end is encoded whole.
+    Byte-level pre-tokenizers always cut before a single space between two characters that aren't white space, before
+    a full stop or comma after an ASCII letter at a piece's end, and on both sides of a single line feed between two that
+    aren't white space. So the pieces between single spaces are encoded on their own and kept, in two generations of bounded size;
+    a text with other white space beside a space is encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -57,34 +61,75 @@ class Encoder:
         kind = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
         self.splits = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # by the piece without the space before it; what has none, after a line feed or letters, is under a space and itself
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces, whole = [], []
-        for text in texts:
-            text = text or ""
-            split = text.split(" ") if self.splits else [""]
-            if all(split) and not any(map(_open, split)):
-                cut = [split[0], *map(" ".__add__, split[1:])]
-                pieces.append(cut)
-            else:
-                pieces.append(None)
-                whole.append(text)
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the ids of all pieces that don't begin or end with white space in ``known``."""
         if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        new = list({p for cut in pieces if cut for p in cut if p not in self.known})
-        self.known.update(zip(new, self._plain(new), strict=True))
-        rest, known = iter(self._plain(whole)), self.known.__getitem__
-        return [next(rest) if cut is None else b"".join(map(known, cut)) for cut in pieces]
-
-
-def _open(piece: str) -> bool:
-    """Whether a piece begins or ends with white space."""
-    return piece[0].isspace() or piece[-1].isspace()
+            self.known, self.old = {}, self.known
+        known, old, new, made = self.known, self.old, set(), []
+        for piece in pieces:
+            if piece in known:
+                continue
+            if (ids := old.get(piece)) is not None:
+                known[piece] = ids
+            elif not piece or piece[0].isspace() or piece[-1].isspace():
+                continue
+            elif len(parts := _parts(piece)) > 1:
+                made.append((piece, parts))
+                new.update(p for p in parts if p not in known)
+            else:
+                new.add(piece)
+        for part in [p for p in new if p in old]:
+            known[part] = old[part]
+            new.discard(part)
+        fresh = list(new)
+        known.update(zip(fresh, self._plain([p[1:] if p[0] == " " else " " + p for p in fresh]), strict=True))
+        for piece, parts in made:
+            known[piece] = b"".join([known[p] for p in parts])
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.splits:
+            return self._plain([t or "" for t in texts])
+        split = [(t or "").split(" ") for t in texts]
+        self._learn(set().union(*(pieces[1:] for pieces in split)))
+        known, heads, tails = self.known.__getitem__, [], []
+        for text, pieces in zip(texts, split, strict=True):
+            head, tail = text or "", b""
+            if len(pieces) > 1 and pieces[0] and not pieces[0][-1].isspace():
+                try:
+                    head, tail = pieces[0], b"".join(map(known, pieces[1:]))
+                except KeyError:  # white space beside a space: the text is encoded whole
+                    pass
+            heads.append(head)
+            tails.append(tail)
+        return [head + tail for head, tail in zip(self._plain(heads), tails, strict=True)]
+
+
+_LETTERS = frozenset(string.ascii_letters)
+
+
+def _parts(piece: str) -> list[str]:
+    """The keys of the parts of a piece that can be encoded apart: lines, and a stop or comma after letters."""
+    if "\n" not in piece:
+        return [piece[:-1], " " + piece[-1]] if len(piece) > 1 and piece[-1] in ".," and piece[-2] in _LETTERS else [piece]
+    lines, out = piece.split("\n"), []
+    if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+        return [piece]
+    for i, line in enumerate(lines):
+        mark = " " if i else ""
+        if i:
+            out.append(" \n")
+        if len(line) > 1 and line[-1] in ".," and line[-2] in _LETTERS:
+            out += [mark + line[:-1], " " + line[-1]]
+        else:
+            out.append(mark + line)
+    return out
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -307,7 +352,7 @@ def read(store: Store) -> DataFrame:
                 keys = np.unique(shard.data["keys"])
                 first = shard.find(keys)
                 # the records of a key follow each other; those of null keys are the last
-                last = np.r_[first[1:], len(shard.data["keys"])]
+                last = np.r_[first, len(shard.data["keys"])][1:]
                 order = [(int(k), i) for k, a, b in zip(keys, first, last, strict=True) for i in range(a, b)]
                 order += [(None, i) for i in range(len(shard.data["keys"]), len(shard.data["offsets"]) - 1)]
                 out = []

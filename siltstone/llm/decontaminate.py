@@ -1,6 +1,6 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Each Arrow batch of documents is a shard. Its words become numbers (words that no benchmark item has are all 0 and end
+Neighbouring documents of a task, some megabytes of text, are a shard. Its words become numbers (words that no benchmark item has are all 0 and end
 a suffix, as the end of a document does), and the shard's suffix array holds the places from which at least the
 shortest window can be read, sorted word by word. Every suffix of every item is searched in the array by bisection:
 its longest verbatim match and, for its first window, the range of equal suffixes, which are the window's places.
@@ -137,27 +137,44 @@ def matches(docs: list[list[bytes]], items: Items) -> tuple[np.ndarray, list[set
     return np.cumsum(hit[:-1]) > 0, found
 
 
+#: Bytes of text that a shard's documents have, unless one alone has more.
+SHARD_BYTES = 8 << 20
+
+
+def shards(texts: list[bytes | None]) -> list[tuple[int, int]]:
+    """Neighbouring documents in groups of bounded size."""
+    found, start, size = [], 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or b"")
+        if size and size + n > SHARD_BYTES:
+            found.append((start, i))
+            start, size = i, 0
+        size += n
+    return [*found, (start, len(texts))]
+
+
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 def _judged(batch: pa.RecordBatch, shipped: list) -> pa.RecordBatch:
-    docs = [words(t) for t in column(batch, "text")]
-    first = np.cumsum([0, *(len(d) + 1 for d in docs)])
-    hit = np.zeros(int(first[-1]), bool)
-    ids: list[list] = [[] for _ in docs]
-    for block in shipped:
-        items = block.value
-        now, found = matches(docs, items)
-        hit |= now
-        for mine, these in zip(ids, found, strict=True):
-            mine.extend(items.ids[n] for n in these)
-    upto = np.r_[0, np.cumsum(hit)]
-    n_hit = upto[first[1:]] - upto[first[:-1]]
-    listed = [",".join(sorted(str(i) for i in mine if i is not None)) for mine in ids]
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), *(pa.array(x, pa.int64()) for x in ([len(d) for d in docs], n_hit, [len(x) for x in ids])), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in listed])],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
-    )
+    texts, out = column(batch, "text"), []
+    for start, stop in shards(texts):
+        docs = [words(t) for t in texts[start:stop]]
+        first = np.cumsum([0, *(len(d) + 1 for d in docs)])
+        hit = np.zeros(int(first[-1]), bool)
+        ids: list[list] = [[] for _ in docs]
+        for block in shipped:
+            items = block.value
+            now, found = matches(docs, items)
+            hit |= now
+            for mine, these in zip(ids, found, strict=True):
+                mine.extend(items.ids[n] for n in these)
+        upto = np.r_[0, np.cumsum(hit)]
+        n_hit = (upto[first[1:]] - upto[first[:-1]]).tolist()
+        listed = [",".join(sorted(str(i) for i in mine if i is not None)) for mine in ids]
+        out += [(len(d), n, len(mine), hashlib.sha256(x.encode()).hexdigest()) for d, n, mine, x in zip(docs, n_hit, ids, listed, strict=True)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+    return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,10 +191,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     @F.pandas_udf(BooleanType())
     def untouched(texts: pd.Series) -> pd.Series:
-        docs = [words(t) for t in texts]
-        good = np.ones(len(docs), bool)
-        for block in shipped:
-            good &= np.array([not f for f in matches(docs, block.value)[1]], bool)
+        texts, good = list(texts), np.ones(len(texts), bool)
+        for start, stop in shards(texts):
+            docs = [words(t) for t in texts[start:stop]]
+            for block in shipped:
+                good[start:stop] &= np.array([not f for f in matches(docs, block.value)[1]], bool)
         return pd.Series(good)
 
     return docs.where(untouched(docs["text"].cast("binary")))

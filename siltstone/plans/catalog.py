@@ -16,7 +16,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     """Register a query given as Spark SQL; ``oracle`` is its DuckDB spelling where the two differ."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir)
+        register(spark, sf_dir, text)
         return spark.sql(text)
 
     run.__name__ = name
@@ -25,16 +25,21 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     ORACLE[name] = oracle or text
 
 
-sql_query(
-    "pricing_summary",
-    """
-    SELECT l_returnflag, l_linestatus,
-           round(sum(l_quantity), 2) AS sum_qty,
-           round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-           round(avg(l_quantity), 4) AS avg_qty,
-           count(*) AS count_order
-    FROM lineitem
-    GROUP BY l_returnflag, l_linestatus
-    """,
-)
+def frame_query(oracle: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its own name; ``oracle`` is the DuckDB SQL for its rows."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[function.__name__] = function
+        if oracle:
+            ORACLE[function.__name__] = oracle
+        return function
+
+    return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from siltstone.plans import aggregation, joins, operators, projection, scalars, sets, windows  # noqa: F401
+
+
+load()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -14,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
-    """(Re)create a temporary view for each table, so that SQL text can name it."""
-    for name in names or TABLES:
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
+def register(spark: SparkSession, sf_dir: str, text: str | None = None) -> None:
+    """(Re)create temporary views, so that SQL can name the tables: those that ``text`` mentions, or all."""
+    for name in TABLES:
+        if text is None or re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)

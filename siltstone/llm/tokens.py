@@ -26,6 +26,7 @@ import os
 import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ from siltstone.llm.common import cut, parts, shared_uri
 MAGIC = b"TOKSHRD1"
 END_ID = 2
 SHARD_BYTES = 64 << 20
-CACHED_PIECES = 300_000
+CACHED_PIECES = 500_000
 
 
 class Encoder:
@@ -66,26 +67,28 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.type.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Put the ids of all pieces that don't begin or end with white space in ``known``."""
         if len(self.known) > CACHED_PIECES:
             self.known, self.old = {}, self.known
         known, old, new, made = self.known, self.old, set(), []
+        pieces.difference_update(known)
+        for piece in pieces.intersection(old):
+            known[piece] = old[piece]
+            pieces.discard(piece)
         for piece in pieces:
-            if piece in known:
+            if not piece or piece[0] in _SPACES or piece[-1] in _SPACES:
                 continue
-            if (ids := old.get(piece)) is not None:
-                known[piece] = ids
-            elif not piece or piece[0].isspace() or piece[-1].isspace():
-                continue
-            elif len(parts := _parts(piece)) > 1:
+            if (piece[-1] in ".," or "\n" in piece) and len(parts := _parts(piece)) > 1:
                 made.append((piece, parts))
-                new.update(p for p in parts if p not in known)
+                new.update(parts)
             else:
                 new.add(piece)
-        for part in [p for p in new if p in old]:
+        new.difference_update(known)
+        for part in new.intersection(old):
             known[part] = old[part]
             new.discard(part)
         fresh = list(new)
@@ -97,13 +100,14 @@ class Encoder:
         if not self.splits:
             return self._plain([t or "" for t in texts])
         split = [(t or "").split(" ") for t in texts]
-        self._learn(set().union(*(pieces[1:] for pieces in split)))
+        firsts = [pieces.pop(0) for pieces in split]
+        self._learn(set().union(*split))
         known, heads, tails = self.known.__getitem__, [], []
-        for text, pieces in zip(texts, split, strict=True):
+        for text, first, pieces in zip(texts, firsts, split, strict=True):
             head, tail = text or "", b""
-            if len(pieces) > 1 and pieces[0] and not pieces[0][-1].isspace():
+            if first and first[-1] not in _SPACES:
                 try:
-                    head, tail = pieces[0], b"".join(map(known, pieces[1:]))
+                    head, tail = first, b"".join(map(known, pieces))
                 except KeyError:  # white space beside a space: the text is encoded whole
                     pass
             heads.append(head)
@@ -112,6 +116,7 @@ class Encoder:
 
 
 _LETTERS = frozenset(string.ascii_letters)
+_SPACES = frozenset(c for c in map(chr, range(0x110000)) if c.isspace())
 
 
 def _parts(piece: str) -> list[str]:
@@ -291,7 +296,7 @@ class Store:
         return [ids for r in rows for ids in Shard(self.folder, r["file"]).get(key)]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, batch: int = 500) -> Store:
+def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, batch: int = 1_000) -> Store:
     """Encode the texts of ``docs`` and write shards in ascending order of doc_id to a folder of their own in the shared one."""
     spark = docs.sparkSession
     folder = f"{shared_uri(spark)}/tokens-{uuid.uuid4().hex}"

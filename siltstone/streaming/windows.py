@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events(spark: SparkSession, path: str, time: str = "ts", late: str = "1 hour", files_per_trigger: int = 1) -> DataFrame:
-    """A stream of the Parquet files below ``path``, with event time and a watermark."""
+def events(spark: SparkSession, path: str, time: str = "ts", late: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
+    """A stream of the Parquet files below ``path``, with event time and a watermark.
+
+    Files that are there already come in one batch unless ``files_per_trigger`` is given: none of their rows is late then.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_trigger:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
     # a table may be one file or a folder of files
     rows = stream.option("recursiveFileLookup", True).parquet(f"{folder}/{name}*")
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)

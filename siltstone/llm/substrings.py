@@ -5,7 +5,7 @@ neighbouring windows mostly do too. Each Arrow batch counts the documents of eac
 of cells, sent as the cells that aren't zero; the sketches are merged segment by segment, and what goes on is one bit
 a cell: whether two documents or more may share it. A cell counts too many, never too few, so no repeated window is lost.
 
-Second pass: only windows whose two cells are set are grouped, exactly, by two 64-bit hashes of all their words. Within a batch
+Second pass: only windows whose two cells are set are grouped, exactly, by 96 bits of hashes of all their words. Within a batch
 a window is kept for its smallest doc_id alone, the batch's other documents having lost it already, so a passage that
 very many documents share is one row a batch. A window over all such rows gives the smallest doc_id of each, and the
 documents that aren't it lose their words.
@@ -171,7 +171,9 @@ def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return (bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 == 1
 
 
-FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("owner", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("lost", pa.bool_())])
+#: A window or a range: two hashes of all its words (96 bits), where it is, and in one number its start and, of lost
+#: ranges, its end. Few and narrow columns: these are the rows that the shuffle carries.
+FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("owner", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
 
 
 def _candidates(shipped, width: int):
@@ -202,12 +204,10 @@ def _candidates(shipped, width: int):
         spread = _mixed((begin + 1).astype(np.uint64) ^ tag[begin].view(np.uint64), 9).view(np.int64)
         columns = (
             np.r_[h1[ask].view(np.int64), spread],
-            np.r_[h2[ask].view(np.int64), spread],
+            np.r_[h2[ask].view(np.int64), spread].astype(np.int32),
             np.r_[owner[ask], owner[begin]],
             np.r_[tag[ask], tag[begin]],
-            np.r_[start[ask], start[begin]],
-            np.r_[start[ask], start[end]] + WINDOW,
-            np.r_[np.zeros(len(ask), bool), np.ones(len(begin), bool)],
+            np.r_[start[ask] << 32, (start[begin] << 32) + start[end] + WINDOW],
         )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
@@ -220,10 +220,12 @@ def removed(docs: DataFrame) -> DataFrame:
     width = cells_for(docs)
     shipped = spark.sparkContext.broadcast(sketch(docs, width))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
-    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 long, owner long, tag long, start int, stop int, lost boolean")
-    least = F.min(F.when(~F.col("lost"), F.col("owner"))).over(W.partitionBy("h1", "h2"))
-    lost = found.withColumn("least", least).where("lost or owner > least")
-    return lost.groupBy("owner", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 int, owner long, tag long, span long")
+    start, stop = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    least = F.min(F.when(stop == 0, F.col("owner"))).over(W.partitionBy("h1", "h2"))
+    lost = found.withColumn("least", least).where((stop > 0) | (F.col("owner") > F.col("least")))
+    ends = F.when(stop > 0, stop).otherwise(start + WINDOW)
+    return lost.groupBy("owner", "tag").agg(F.collect_list(F.struct(start.alias("start"), ends.alias("stop"))).alias("ranges"))
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, html_main, licenses, mixing, quality, secret_scan, simhash, substrings, tokens, toxicity
+from siltstone.llm import decontaminate, html_main, licenses, mixing, oracles, quality, secret_scan, simhash, substrings, tokens, toxicity
 from siltstone.llm.common import table
 
 
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_tokens, op2_substrings, op3_licenses, op4_mixing, op5_html, op6_secrets, op7_toxicity, op8_simhash, op9_quality, op10_decontaminate)
 }
-ORACLE: dict[str, str] = {"op3_licenses": licenses.oracle()}
+ORACLE: dict[str, str] = {"op2_substrings": oracles.SUBSTRINGS, "op3_licenses": licenses.oracle(), "op9_quality": oracles.cutoffs(), "op10_decontaminate": oracles.CONTAMINATION}

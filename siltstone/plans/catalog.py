@@ -39,7 +39,7 @@ def frame_query(oracle: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from siltstone.plans import aggregation, joins, operators, projection, scalars, sets, windows  # noqa: F401
+    from siltstone.plans import aggregation, joins, operators, projection, scalars, scalars_more, sets, windows  # noqa: F401
 
 
 load()

@@ -6,7 +6,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +60,24 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Rows of ``function`` over each Arrow batch of ``df``; batches are bounded in rows and bytes by Spark."""
+def slices(batch: pa.RecordBatch, name: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in runs whose column ``name`` has at most ``most_bytes``, unless one row alone has more."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most_bytes, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, split: str | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+    """Rows of ``function`` over each Arrow batch of ``df``; batches are bounded in rows and bytes by Spark, and further by the text column ``split``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None:
-                yield out
+            for part in slices(batch, split, most_bytes) if split else [batch]:
+                if part.num_rows and (out := function(part)) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

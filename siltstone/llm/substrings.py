@@ -1,7 +1,7 @@
 """Substring dedup: words in windows that an earlier document has too are removed, after a count-min prefilter.
 
 First pass: a window is stood for by the least hash of the runs of ``GRAM`` words in it, which equal windows share and
-neighbouring windows mostly do too. Each Arrow batch counts the documents of each such hash in a sketch of two rows
+neighbouring windows mostly do too. Each batch of some megabytes counts the documents of each such hash in a sketch of two rows
 of cells, sent as the cells that aren't zero; the sketches are merged segment by segment, and what goes on is one bit
 a cell: whether two documents or more may share it. A cell counts too many, never too few, so no repeated window is lost.
 
@@ -155,7 +155,7 @@ def cells_for(docs: DataFrame) -> int:
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Two lines of bits, packed: the cells that two documents or more may share. Its size is ``width`` / 4 bytes, bounded."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    counted = map_batches(rows, _sketched(width), "line int, segment int, once binary, more binary")
+    counted = map_batches(rows, _sketched(width), "line int, segment int, once binary, more binary", split="text")
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _merged(frames)
@@ -220,7 +220,7 @@ def removed(docs: DataFrame) -> DataFrame:
     width = cells_for(docs)
     shipped = spark.sparkContext.broadcast(sketch(docs, width))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
-    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 int, owner long, tag long, span long")
+    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 int, owner long, tag long, span long", split="text")
     start, stop = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     least = F.min(F.when(stop == 0, F.col("owner"))).over(W.partitionBy("h1", "h2"))
     lost = found.withColumn("least", least).where((stop > 0) | (F.col("owner") > F.col("least")))
@@ -260,7 +260,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of ``docs``."""
-    return map_batches(marked(docs), _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_batches(marked(docs), _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", split="text")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -270,4 +270,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         kept = [b" ".join(_kept(t, r)[0]).decode() for t, r in zip(column(batch, "text"), column(batch, "ranges"), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], names=["doc_id", "text"])
 
-    return map_batches(marked(docs), texts, "doc_id long, text string")
+    return map_batches(marked(docs), texts, "doc_id long, text string", split="text")

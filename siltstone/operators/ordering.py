@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import cut
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
     """``df`` with its rows numbered from 1 in ``order``, which should be total.
 
-    The rows are sorted by ranges; each partition numbers its own and starts after the ones before it, of which
-    only the counts (a row for each partition) are gathered.
+    The rows are dealt out by ranges and written so, as another run might draw other ranges; each partition numbers its
+    own and starts after the ones before it, of which only the counts (a row for each partition) are gathered.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
+    rows = cut(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
     own = Window.partitionBy("__part").orderBy(*order)
     rows = rows.withColumn("__own", F.row_number().over(own))
     counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +9,11 @@ from siltstone.functions import network, postgres
 from siltstone.operators import asof, ordering, ranges, search, shaping
 from siltstone.plans.catalog import frame_query
 from siltstone.sources import files
+from siltstone.sources.shared import new_folder
 from siltstone.sources.tables import table
 from siltstone.streaming import windows
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-")
-    return f"{where.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 @frame_query(
     """
     SELECT e.event_id, c.value AS last_value, c.event_id AS last_id
@@ -183,7 +175,7 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame_query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers through delimited text."""
-    path = scratch(spark)
+    path = new_folder(spark)
     table(spark, sf_dir, "supplier").write.option("header", True).option("sep", ";").csv(path)
     rows = files.read_csv(spark, path)
     return rows.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
@@ -192,7 +184,7 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @frame_query("SELECT event_id, ts, value FROM events WHERE event_type = 'view'")
 def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through JSON lines."""
-    path = scratch(spark)
+    path = new_folder(spark)
     rows = table(spark, sf_dir, "events")
     rows.write.option("timestampNTZFormat", files.TIMES).json(path)
     return files.read_json(spark, path, rows.schema).where("event_type = 'view'").select("event_id", "ts", "value")

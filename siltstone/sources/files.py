@@ -28,6 +28,12 @@ def read_json(spark: SparkSession, path: str, schema: str | StructType | None =
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _any(spark: SparkSession, pattern: str) -> bool:
+    """Whether a glob matches a file, in whatever store it is."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob))
+
+
 def read_delta(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """The table at ``path`` as of ``version``, from its log: files added and not removed since, with partition values as columns.
 
@@ -35,11 +41,16 @@ def read_delta(spark: SparkSession, path: str, version: int | None = None) -> Da
     live files goes to the driver, as any scan's file list does.
     """
     log = f"{path}/_delta_log"
-    entries = spark.read.json(f"{log}/*.json", schema="add STRUCT<path: STRING, partitionValues: MAP<STRING, STRING>>, remove STRUCT<path: STRING>, metaData STRUCT<schemaString: STRING, partitionColumns: ARRAY<STRING>>")
+    kinds = "add STRUCT<path: STRING, partitionValues: MAP<STRING, STRING>>, remove STRUCT<path: STRING>, metaData STRUCT<schemaString: STRING, partitionColumns: ARRAY<STRING>>"
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    entries = entries.select("add", "remove", "metaData", F.regexp_extract(name, r"^(\d+)\.json$", 1).cast("long").alias("version"))
-    if version is not None:
-        entries = entries.where(F.col("version") <= version)
+    columns = ["add", "remove", "metaData", F.regexp_extract(name, r"^(\d+)\.", 1).cast("long").alias("version")]
+    wanted = F.lit(True) if version is None else F.col("version") <= version
+    entries = spark.read.json(f"{log}/*.json", schema=kinds).select(*columns).where(wanted)
+    if _any(spark, f"{log}/*.checkpoint*.parquet"):
+        saved = spark.read.schema(kinds).parquet(f"{log}/*.checkpoint*.parquet").select(*columns).where(wanted)
+        last = saved.agg(F.max("version")).first()[0]
+        if last is not None:
+            entries = entries.where(F.col("version") > last).unionByName(saved.where(F.col("version") == last))
     meta = entries.where("metaData IS NOT NULL").orderBy(F.desc("version")).select("metaData.*").first()
     if meta is None:
         raise FileNotFoundError(f"no table metadata in {log}")

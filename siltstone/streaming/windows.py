@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.sources.shared import new_folder
+
 
 def events(spark: SparkSession, path: str, time: str = "ts", late: str = "1 hour", files_per_trigger: int | None = None) -> DataFrame:
     """A stream of the Parquet files below ``path``, with event time and a watermark.
@@ -68,15 +68,14 @@ def running_totals(rows: DataFrame, key: str = "user_id", value: str = "value")
     return rows.select(key, value).groupBy(key).applyInPandasWithState(update, f"{key} long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def settle(stream: DataFrame, shared: str | None = None, mode: str = "append", merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def settle(stream: DataFrame, mode: str = "append", merge: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Run a stream over what there is now and return what it wrote, as a table in the session's shared folder.
 
     Each batch is written under its own number, so a batch that runs twice replaces itself. In complete mode the last
     batch counts; ``merge`` makes one table of the batches of update mode, which have a column ``batch``.
     """
     spark = stream.sparkSession
-    shared = shared or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="siltstone-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")

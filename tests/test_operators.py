@@ -135,6 +135,15 @@ def test_delta_log(spark, tmp_path):
     assert at(0) == [(1, "v1", "2024-01-01"), (2, "v2", "2024-01-01")]
     assert at(1) == [(1, "v1", "2024-01-01"), (2, "v2", "2024-01-01"), (3, "v3", "2024-01-02")]
     assert at() == [(3, "v3", "2024-01-02"), (4, "v4", None), (5, "v5", None)]
+    # a checkpoint of version 1 stands for the commits up to it
+    kinds = "add STRUCT<path: STRING, partitionValues: MAP<STRING, STRING>>, remove STRUCT<path: STRING>, metaData STRUCT<schemaString: STRING, partitionColumns: ARRAY<STRING>>"
+    (tmp_path / "saved").write_text("\n".join(json.dumps(a) for c in commits[:2] for a in c))
+    spark.read.json(str(tmp_path / "saved"), schema=kinds).coalesce(1).write.parquet(str(tmp_path / "c"))
+    next((tmp_path / "c").glob("part-*.parquet")).rename(log / f"{1:020d}.checkpoint.parquet")
+    for n in (0, 1):
+        (log / f"{n:020d}.json").unlink()
+    assert at(1) == [(1, "v1", "2024-01-01"), (2, "v2", "2024-01-01"), (3, "v3", "2024-01-02")]
+    assert at() == [(3, "v3", "2024-01-02"), (4, "v4", None), (5, "v5", None)]
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import cut, shared_dir, shared_uri  # noqa: F401
+
 #: A word is a run of characters other than these, in the patterns of Java, RE2 and Python alike.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -29,28 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: the one the session names, else one of our own (single machine)."""
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="siltstone-")
-        context.setCheckpointDir(where)
-    return where
-
-
-def shared_uri(spark: SparkSession) -> str:
-    """That folder with its scheme, so that a task's file library finds the store that Spark means."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there, so that no later stage computes it again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -190,6 +190,28 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json(spark, path, rows.schema).where("event_type = 'view'").select("event_id", "ts", "value")
 
 
+@frame_query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def scan_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers through a Delta table."""
+    path = new_folder(spark)
+    files.write_delta(table(spark, sf_dir, "supplier"), path)
+    return files.read_delta(spark, path).where("s_acctbal > 0")
+
+
+@frame_query("SELECT column_name AS col_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS data_type FROM (DESCRIBE SELECT * FROM orders)")
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of a query's columns, from analysis alone."""
+    rows = table(spark, sf_dir, "orders")
+    return spark.createDataFrame(rows.dtypes, "col_name string, data_type string")
+
+
+@frame_query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 150000 AND o_orderpriority = '1-URGENT'")
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed parameters, bound and not spliced."""
+    text = "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_totalprice > :least AND o_orderpriority = :priority"
+    return spark.sql(text, args={"least": 150000, "priority": "1-URGENT"}, orders=table(spark, sf_dir, "orders"))
+
+
 @frame_query("SELECT count(*) AS n, min(page_id) AS lo, max(page_id) AS hi FROM pages")
 def repeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that an explode of repeated rows leaves as they are."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,6 +72,22 @@ def read_delta(spark: SparkSession, path: str, version: int | None = None) -> Da
     return rows.select(*(F.col(f.name).cast(f.dataType) for f in schema))
 
 
+def write_delta(df: DataFrame, path: str) -> None:
+    """A new Delta table at ``path``: Parquet files, and version 0 of a log that names them."""
+    spark = df.sparkSession
+    df.write.parquet(path)
+    added = spark.read.parquet(path).select("_metadata.file_name", "_metadata.file_size").distinct().collect()  # a row for each file
+    actions = [
+        {"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}},
+        {"metaData": {"id": str(uuid.uuid4()), "format": {"provider": "parquet", "options": {}}, "schemaString": df.schema.json(), "partitionColumns": [], "configuration": {}}},
+        *({"add": {"path": f["file_name"], "partitionValues": {}, "size": f["file_size"], "modificationTime": 0, "dataChange": True}} for f in added),
+    ]
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log/{0:020d}.json")
+    out = log.getFileSystem(spark._jsc.hadoopConfiguration()).create(log, False)
+    out.write(bytearray("\n".join(map(json.dumps, actions)).encode()))
+    out.close()
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(filename, content): a row for each file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("filename"), F.col("value").alias("content"))

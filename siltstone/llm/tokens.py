@@ -29,6 +29,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, count
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +96,7 @@ class Encoder:
         if len(self.known) > CACHED_PIECES:
             self.known, self.old = {}, self.known
         known, old, new, made = self.known, self.old, set(), []
-        for piece in pieces.difference(known):
+        for piece in pieces:
             if (ids := old.get(piece)) is not None:
                 known[piece] = ids
                 continue
@@ -120,19 +122,24 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.splits:
             return self._plain([t or "" for t in texts])
-        split = [(t or "").split(" ") for t in texts]
-        firsts = [pieces.pop(0) for pieces in split]
-        self._learn(set().union(*split))
-        known, heads, tails = self.known.__getitem__, [], []
-        for text, first, pieces in zip(texts, firsts, split, strict=True):
-            head, tail = text or "", b""
-            if first and first[-1] not in _SPACES:
-                try:
-                    head, tail = first, b"".join(map(known, pieces))
-                except KeyError:  # white space beside a space: the text is encoded whole
-                    pass
-            heads.append(head)
-            tails.append(tail)
+        get, rows, missing = self.known.get, [], set()
+        for text in texts:
+            pieces = (text or "").split(" ")
+            first = pieces.pop(0)
+            ids = list(map(get, pieces))
+            at = list(compress(count(), map(not_, ids)))
+            new = [pieces[k] for k in at]
+            missing.update(new)
+            rows.append((text or "", first, ids, at, new))
+        self._learn(missing)
+        get, heads, tails = self.known.get, [], []
+        for text, first, ids, at, new in rows:
+            for k, piece in zip(at, new, strict=True):
+                ids[k] = get(piece)
+            # white space beside a space: the text is encoded whole
+            apart = ids and first and first[-1] not in _SPACES and None not in map(ids.__getitem__, at)
+            heads.append(first if apart else text)
+            tails.append(b"".join(ids) if apart else b"")
         return [head + tail for head, tail in zip(self._plain(heads), tails, strict=True)]
 
 
@@ -317,7 +324,7 @@ class Store:
         return [ids for r in rows for ids in Shard(self.folder, r["file"]).get(key)]
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, batch: int = 1_000) -> Store:
+def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, batch: int = 250) -> Store:
     """Encode the texts of ``docs`` and write shards in ascending order of doc_id to a folder of their own in the shared one."""
     spark = docs.sparkSession
     folder = f"{shared_uri(spark)}/tokens-{uuid.uuid4().hex}"

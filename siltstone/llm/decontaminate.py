@@ -28,6 +28,8 @@ from pyspark.sql.types import BooleanType
 from siltstone.llm.common import column, map_batches
 
 WINDOW = 10
+#: Words to which suffixes are sorted, and so the longest match that is told; windows are shorter.
+DEEPEST = 64
 _KEPT = (string.ascii_letters + string.digits).encode()
 _TABLE = bytes(ord(chr(c).lower()) if c in _KEPT else c if c > 0x7F else 0x20 for c in range(256))
 
@@ -51,7 +53,7 @@ class Items:
 
     @property
     def most(self) -> int:
-        return max(len(t) for t in self.tokens)
+        return min(DEEPEST, max(len(t) for t in self.tokens))
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = 16 << 20) -> list[Items]:

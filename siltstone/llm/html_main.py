@@ -40,7 +40,7 @@ UNREAD = "script|style|template|svg|math|object|canvas|audio|video|noscript|ifra
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<unread>{UNREAD})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=unread)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<(?P<unread>{UNREAD})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=unread)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role|data-main|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)

@@ -16,7 +16,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,200}={0,2}(?![A-Za-z0-9+/_\-])"
@@ -62,21 +62,26 @@ def features(found: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, candidate, before, after, position, occurrences): a row for each different candidate of each row of ``docs``."""
-    found = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("all")).where(F.size("all") > 0)
-    each = found.select("doc_id", "text", "all", F.explode(F.array_distinct("all")).alias("candidate"))
-    # where the candidate stands alone, not where a longer run begins with it
-    position = F.regexp_instr("text", F.concat(F.lit(r"(?<![A-Za-z0-9+/_\-])\Q"), F.col("candidate"), F.lit(r"\E(?![A-Za-z0-9+/_\-])")))
-    each = each.withColumn("position", position.cast("long"))
-    p = F.col("position").cast("int")
-    return each.select(
-        "doc_id",
-        "candidate",
-        F.substring("text", F.greatest(F.lit(1), p - BEFORE), F.least(F.lit(BEFORE), p - 1)).alias("before"),
-        F.substring("text", p + F.length("candidate"), F.lit(AFTER)).alias("after"),
-        "position",
-        F.size(F.filter("all", lambda x: x == F.col("candidate"))).cast("long").alias("occurrences"),
-    )
+    """(doc_id, candidate, before, after, position, occurrences): a row for each different candidate of each row of ``docs``.
+
+    The texts between candidates give their neighbours and, summed up in order, their places, so a text is read once
+    however many candidates it has; what is shuffled are the candidates alone.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("all"), F.split(text, CANDIDATE).alias("gaps")).where(F.size("all") > 0)
+    found, gaps = F.col("all"), F.col("gaps")
+
+    def one(i: Column) -> Column:
+        before = F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i))
+        after = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), F.lit("")))
+        size = F.length(F.get(gaps, i)) + F.coalesce(F.length(F.get(found, i - 1)), F.lit(0))
+        return F.struct(i.alias("i"), F.get(found, i).alias("candidate"), size.cast("long").alias("size"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(after, F.lit(AFTER)).alias("after"))
+
+    each = rows.select("doc_id", "row", F.inline(F.transform(F.sequence(F.lit(0), F.size(found) - 1), one)))
+    upto = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("position", F.sum("size").over(upto) + 1)
+    first = placed.groupBy("row", "doc_id", "candidate").agg(F.min_by(F.struct("before", "after", "position"), "i").alias("f"), F.count("*").alias("occurrences"))
+    return first.select("doc_id", "candidate", "f.before", "f.after", "f.position", "occurrences")
 
 
 def labelled_findings(spark: SparkSession, n: int = 6_000) -> DataFrame:

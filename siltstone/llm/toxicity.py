@@ -1,6 +1,7 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding maps homoglyphs to Latin letters and digits or signs inside a word to the letters they stand for.
+Folding maps homoglyphs to Latin letters, drops accents, and maps digits or signs inside a word to the letters they
+stand for (l and i, for either of which a 1 is written, are one letter).
 The lexicon holds whole words and word beginnings with the log odds of toxic documents among those that hold
 them; exception phrases (a lexicon word with its neighbour that clean documents use) take a match back. The sum
 of the weights is normalised by the document's length and two figures are mapped to a probability.
@@ -31,7 +32,7 @@ INVISIBLE = "​‌‍⁠﻿­"
 # Digits and signs written for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 
-_FOLD = str.maketrans(HOMOGLYPHS | dict.fromkeys(INVISIBLE))
+_FOLD = str.maketrans(HOMOGLYPHS | dict.fromkeys(INVISIBLE) | {chr(c): None for c in range(0x300, 0x370)})  # and combining marks
 _BETWEEN = str.maketrans(SUBSTITUTES)
 _MIXED = re.compile(r"(?<!\w)(?:[^\W\d_]+[\d@$!|]+|[\d@$]+[^\W\d_]+)[\w@$!|]*(?<!\W)")
 _REST = re.compile(r"[\W_]+")
@@ -42,9 +43,11 @@ def fold(text: str | None) -> str:
     if not text:
         return " "
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    text = text.lower().translate(_FOLD) if not text.isascii() else text.lower()
+        text = unicodedata.normalize("NFKD", text).lower().translate(_FOLD)
+    else:
+        text = text.lower()
     text = _MIXED.sub(lambda m: m[0].translate(_BETWEEN), text)
+    text = text.replace("l", "i")  # which a 1 may stand for as well
     return f" {_REST.sub(' ', text).strip()} ".replace("  ", " ")
 
 
@@ -102,11 +105,12 @@ def held_out_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 5_000, least_share: float = 0.01, least_odds: float = 2.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 5_000, least_share: float = 0.01, least_odds: float = 2.0, least_evidence: float = 10.0) -> Lexicon:
     """Learn lexicon, exceptions and map from labelled rows that are not held out.
 
     At most ``max_labelled`` labelled rows are read and at most ``max_terms`` terms kept, so the model and what
-    reaches the driver are bounded whatever the corpus. A term needs ``least_share`` of the toxic rows, five at least.
+    reaches the driver are bounded whatever the corpus. A term needs ``least_share`` of the toxic rows, five at least,
+    odds and a likelihood ratio (G squared) against chance; beginnings that one longer term explains are dropped.
     """
     sample = training_rows(labels, held_out_rows(F.col("doc_id")), max_labelled).toPandas()
     counts = sample["toxic"].value_counts()
@@ -119,9 +123,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
     terms = map_batches(rows, _terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     least = max(5, math.ceil(least_share * toxic))
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
-    chosen = terms.where(F.col("pos") >= least).withColumn("odds", odds).where(F.col("odds") >= least_odds)
-    weights = {r["term"]: float(r["odds"]) for r in chosen.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(max_terms).collect()}
-    lexicon = Lexicon(weights)
+    share = toxic / (toxic + clean)
+    n, pos, neg = F.col("pos") + F.col("neg"), F.col("pos"), F.greatest(F.col("neg"), F.lit(1e-9))
+    evidence = 2 * (pos * F.log(pos / (n * share)) + neg * F.log(neg / (n * (1 - share))))
+    chosen = terms.where(pos >= least).withColumn("odds", odds).where((F.col("odds") >= least_odds) & (evidence >= least_evidence))
+    found = chosen.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(max_terms).collect()
+    lexicon = Lexicon({r["term"]: float(r["odds"]) for r in _without_stumps(found)})
     shipped = spark.sparkContext.broadcast(lexicon)
     phrases = map_batches(rows, lambda b: _phrases(b, shipped.value), "phrase string, pos long, neg long")
     phrases = phrases.groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -135,6 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_term
     return lexicon
 
 
+def _without_stumps(found: list) -> list:
+    """Terms without the beginnings that a single longer term mostly stands behind: those say no more than it does."""
+    longest: dict[str, int] = {}
+    for r in found:
+        for n in range(5, min(9, len(r["term"]))):
+            start = r["term"][:n]
+            longest[start] = max(longest.get(start, 0), r["pos"])
+    return [r for r in found if r["term"][-1] == " " or 2 * longest.get(r["term"], 0) < r["pos"]]
+
+
 def _terms(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Documents with each word and each beginning of 4 to 7 letters, by label; equal texts of a batch count once."""
     count: dict[str, list[int]] = {}

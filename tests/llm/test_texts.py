@@ -102,6 +102,7 @@ def test_secrets(spark):
 
 def test_fold():
     assert toxicity.fold("You 1d10t! m0r0n, іdіоt st​upid $cum in 2024") == " you idiot moron idiot stupid scum in 2024 ".replace("$cum", "scum")
+    assert toxicity.fold("1oser l0ser LOSER ìdïot ｓｃｕｍ") == " ioser ioser ioser idiot scum "
     assert toxicity.fold(None) == toxicity.fold("") == " "
 
 
@@ -123,7 +124,7 @@ def test_toxicity(spark):
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame([*rows, (None, "zidiot"), (5000, None), (5001, "")], "doc_id long, text string")
     lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert "harmless zidiot" in lexicon.exceptions
+    assert toxicity.fold("harmless zidiot").strip() in lexicon.exceptions
     got = {r["doc_id"]: r for r in toxicity.assess(docs, lexicon).collect()}
     assert len(got) == 1203 and all(0 <= r["score"] <= 1 for r in got.values())
     held = [(got[i]["predicted"], y) for i, y in labels if got[i]["held_out"]]

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def summarize(df: DataFrame) -> DataFrame:
-    """A row for each column: name, type, min, max (as text), nulls, rows and whether it is unique, from one aggregate."""
-    parts = []
+def summarize(df: DataFrame, exact: bool = False) -> DataFrame:
+    """A row for each column: name, type, min, max (as text), nulls, rows and distinct values, from one aggregate.
+
+    Distinct values are estimated by sketches, which partial aggregates merge; ``exact`` repeats each row for every column instead.
+    """
+    distinct, parts = (F.count_distinct if exact else F.approx_count_distinct), []
     for name, kind in df.dtypes:
-        parts += [F.min(name).cast("string").alias(f"{name}|lo"), F.max(name).cast("string").alias(f"{name}|hi"), F.count(name).alias(f"{name}|n"), F.count_distinct(name).alias(f"{name}|d")]
+        parts += [F.min(name).cast("string").alias(f"{name}|lo"), F.max(name).cast("string").alias(f"{name}|hi"), F.count(name).alias(f"{name}|n"), distinct(name).alias(f"{name}|d")]
     one = df.agg(F.count("*").alias("|rows"), *parts)
     rows = [
         F.struct(

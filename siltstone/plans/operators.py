@@ -86,7 +86,7 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile of the parts table."""
-    return shaping.summarize(table(spark, sf_dir, "part")).select("column_name", "column_type", "nulls", "row_count", "distinct_count")
+    return shaping.summarize(table(spark, sf_dir, "part"), exact=True).select("column_name", "column_type", "nulls", "row_count", "distinct_count")
 
 
 @frame_query("PIVOT (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem) ON l_linestatus USING CAST(sum(l_linenumber) AS BIGINT) GROUP BY l_returnflag")

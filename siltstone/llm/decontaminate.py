@@ -30,6 +30,7 @@ from siltstone.llm.common import column, map_batches
 WINDOW = 10
 #: Words to which suffixes are sorted, and so the longest match that is told; windows are shorter.
 DEEPEST = 64
+HEAD = 3
 _KEPT = (string.ascii_letters + string.digits).encode()
 _TABLE = bytes(ord(chr(c).lower()) if c in _KEPT else c if c > 0x7F else 0x20 for c in range(256))
 
@@ -93,6 +94,8 @@ class Shard:
         places = np.flatnonzero(run >= items.least)
         self.text = flat
         self.array = sorted(places.tolist(), key=self.suffix)
+        # the first words of all suffixes: most of the items' suffixes need no search
+        self.heads = set(zip(*(self.tokens[places[run[places] >= HEAD] + i].tolist() for i in range(HEAD)), strict=True))
 
     def suffix(self, at: int) -> list[int]:
         return self.text[at : at + min(int(self.run[at]), self.depth)]
@@ -127,6 +130,8 @@ def matches(docs: list[list[bytes]], items: Items) -> tuple[np.ndarray, list[set
         for n, item in enumerate(items.tokens):
             width = min(WINDOW, len(item))
             for at in range(len(item) - width + 1):
+                if width >= HEAD and tuple(item[at : at + HEAD]) not in shard.heads:
+                    continue
                 length, places = shard.longest(item[at:])
                 if length < width:
                     continue

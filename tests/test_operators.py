@@ -178,3 +178,16 @@ def test_stream_join(spark, stream_path):
     batch = spark.read.parquet(stream_path)
     want = ranges.within_time(batch.where("event_type = 'view'").selectExpr("user_id", "event_id AS a", "ts AS t"), batch.where("event_type = 'click'").selectExpr("user_id", "event_id AS b", "ts AS u"), "t", "u", "1 hour", ["user_id"])
     assert sorted(map(tuple, got.distinct().collect())) == sorted(map(tuple, want.select("a", "b").distinct().collect()))
+
+
+def test_snapshot(spark, tmp_path):
+    from siltstone.operators.results import Snapshot
+
+    path = str(tmp_path / "t")
+    spark.range(100).write.parquet(path)
+    rows = Snapshot(spark.read.parquet(path).orderBy(F.desc("id")))
+    spark.range(5).write.mode("append").parquet(path)
+    assert [r["id"] for r in rows.fetch(3)] == [99, 98, 97]
+    assert rows.skip(90) == 90
+    assert [r["id"] for r in rows.fetch(1000)] == [6, 5, 4, 3, 2, 1, 0]
+    assert rows.fetch() == []

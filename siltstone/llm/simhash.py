@@ -32,6 +32,8 @@ EXACT = 21
 ROTATIONS = (0, 21, 42)
 STEP = 4
 SLICE = 500_000
+#: Pairs of nodes that a task looks at at once.
+PAIRS = 2_000_000
 NO_ID = -(1 << 63)
 
 
@@ -95,45 +97,53 @@ def deepen(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select(path.alias("path"), (F.col("err") + F.bit_count("m")).cast("int").alias("err"), side.cast("int").alias("side"), "r", "fp")
 
 
-def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of linked rows; rows come sorted by group, side and r (unsigned)."""
+def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of linked rows, in arrays of bounded size; rows come sorted by group, side and r (unsigned)."""
     n = len(r)
     first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])])
-    node = np.cumsum(np.bincount(first, minlength=n)) - 1
     alone = side[first] == 0
-    a = [np.flatnonzero(alone)]
-    b = [a[0]]
-    twin = np.flatnonzero(~alone[:-1] & ~alone[1:] & (group[first][:-1] == group[first][1:])) if len(first) > 1 else np.array([], int)
-    a.append(twin)
-    b.append(twin + 1)
-    a, b = np.concatenate(a), np.concatenate(b)
-    e = err[first][a].astype(np.int8)
-    size = np.diff(np.r_[first, n])
-    while len(a):
-        live = (a != b) | (size[a] > 1)
-        a, b, e = a[live], b[live], e[live]
+    twin = np.flatnonzero(~alone[:-1] & ~alone[1:] & (group[first][:-1] == group[first][1:]))
+    a = np.concatenate([np.flatnonzero(alone), twin])
+    b = np.concatenate([np.flatnonzero(alone), twin + 1])
+    # the trie, level by level: rows of each node, its last letter, its children
+    levels, starts = [], first
+    while True:
+        node = np.cumsum(np.bincount(starts, minlength=n)) - 1
+        size = np.diff(np.r_[starts, n])
         bits = min(STEP, 64 - depth)
         if not bits:
+            levels.append((size, None, None, starts))
             break
         code = ((r >> np.uint64(64 - depth - bits)) & np.uint64((1 << bits) - 1)).astype(np.int8)
         below = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (code[1:] != code[:-1])])
-        parent, letter = node[below], code[below]
-        start = np.searchsorted(parent, np.arange(len(first) + 1))
+        levels.append((size, code[below], np.searchsorted(node[below], np.arange(len(starts) + 1)), starts))
+        starts, depth = below, depth + bits
+    # pairs of nodes, deepest first, a bounded number at a time
+    open_pairs = [(0, a, b, err[first][a].astype(np.int8))]
+    while open_pairs:
+        level, a, b, e = open_pairs.pop()
+        size, letter, start, rows = levels[level]
+        live = (a != b) | (size[a] > 1)
+        a, b, e = a[live], b[live], e[live]
+        if letter is None:
+            yield rows[a], rows[b]
+            continue
         count = np.diff(start)
         total = count[a] * count[b]
+        if len(a) > 1 and total.sum() > PAIRS:
+            half = len(a) // 2
+            open_pairs += [(level, a[half:], b[half:], e[half:]), (level, a[:half], b[:half], e[:half])]
+            continue
         at = np.repeat(np.arange(len(a)), total)
         within = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
         ca, cb = start[a[at]] + within // count[b[at]], start[b[at]] + within % count[b[at]]
         ce = e[at] + _POP[letter[ca] ^ letter[cb]]
         keep = (ce <= BUDGET) & ((a[at] != b[at]) | (ca <= cb))
-        a, b, e = ca[keep], cb[keep], ce[keep]
-        first, size = below, np.diff(np.r_[below, n])
-        node = np.cumsum(np.bincount(below, minlength=n)) - 1
-        depth += bits
-    return first[a], first[b]
+        if keep.any():
+            open_pairs.append((level + 1, ca[keep], cb[keep], ce[keep]))
 
 
-def _stars(left: np.ndarray, right: np.ndarray, fp: np.ndarray) -> tuple[list[int], list[int]]:
+def _stars(links: Iterator[tuple[np.ndarray, np.ndarray]], fp: np.ndarray) -> tuple[list[int], list[int]]:
     """Each linked fingerprint but the smallest of its set, and that smallest one."""
     top: dict[int, int] = {}
 
@@ -143,10 +153,11 @@ def _stars(left: np.ndarray, right: np.ndarray, fp: np.ndarray) -> tuple[list[in
             x = top[x]
         return x
 
-    for x, y in zip(fp[left].tolist(), fp[right].tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            top[max(x, y)] = min(x, y)
+    for left, right in links:
+        for x, y in zip(fp[left].tolist(), fp[right].tolist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                top[max(x, y)] = min(x, y)
     return list(zip(*((x, r) for x in top if (r := find(x)) != x), strict=True)) or ([], [])
 
 
@@ -159,8 +170,7 @@ def _links(depth: int, chunk: int):
     def whole(path: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.r_[0, path[1:] != path[:-1]])
         order = np.lexsort((r.view(np.uint64), side, group))  # signed order is the wrong one for a trie
-        left, right = _walk(group[order], side[order], err[order], r.view(np.uint64)[order], depth)
-        u, v = _stars(left, right, fp[order])
+        u, v = _stars(_walk(group[order], side[order], err[order], r.view(np.uint64)[order], depth), fp[order])
         return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -131,15 +131,14 @@ def _sketched(width: int):
     return run
 
 
-def _merged(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    count, key = np.zeros(SEGMENT, np.uint8), (0, 0)
-    for frame in rows:
-        key = (int(frame["line"].iloc[0]), int(frame["segment"].iloc[0]))
-        for once, more in zip(frame["once"], frame["more"], strict=True):
-            cells = np.frombuffer(once, np.uint32)
-            count[cells] = np.minimum(count[cells] + 1, 2)
-            count[np.frombuffer(more, np.uint32)] = 2
-    return pd.DataFrame({"line": [key[0]], "segment": [key[1]], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
+def _merged(frame: pd.DataFrame) -> pd.DataFrame:
+    """One segment's cells, summed over the batches' sketches."""
+    count = np.zeros(SEGMENT, np.uint8)
+    for once, more in zip(frame["once"], frame["more"], strict=True):
+        cells = np.frombuffer(once, np.uint32)
+        count[cells] = np.minimum(count[cells] + 1, 2)
+        count[np.frombuffer(more, np.uint32)] = 2
+    return pd.DataFrame({"line": frame["line"].iloc[:1], "segment": frame["segment"].iloc[:1], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
 
 
 def cells_for(docs: DataFrame) -> int:
@@ -157,11 +156,8 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     counted = map_batches(rows, _sketched(width), "line int, segment int, once binary, more binary", split="text")
 
-    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield _merged(frames)
-
     bits = np.zeros((2, width // 8), np.uint8)
-    for row in counted.groupBy("line", "segment").applyInPandas(lambda frame: _merged(iter([frame])), "line int, segment int, bits binary").toLocalIterator():
+    for row in counted.groupBy("line", "segment").applyInPandas(_merged, "line int, segment int, bits binary").toLocalIterator():
         at = row["segment"] * SEGMENT // 8
         bits[row["line"], at : at + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
     return bits

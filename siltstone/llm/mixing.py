@@ -3,9 +3,9 @@
 A source's target is its share, by weight, of the mix, never above ``most`` times its size. Each of its documents is
 taken target / size times in expectation: a whole number of copies for certain, and one more with the fractional
 probability that is left. Pairs of such documents pass probability to each other, at random and so that both
-expectations and the words taken stay as they are, until one of the two is 0 or 1. What is left of a bucket of documents goes
-up a tree of buckets, ``FAN`` to one, until one document of a source is left: that one is drawn.
-So the words taken are those of the target, to within one document.
+expectations and the words taken stay as they are, until one of the two is 0 or 1. What is left of a bucket of documents, and one of each order of size, go
+up a tree of buckets, ``FAN`` to one, until one document of a source is left: that one is drawn. Large documents come
+first everywhere, so it is a small one as a rule, and the words taken are those of the target to within it.
 
 Defined cases: a null text has size 0; a document of size 0 is never taken beyond the whole copies of its rate, which
 are no words; a null source is a source, the last one; repeated rows are drawn one by one; an empty table gives an
@@ -86,19 +86,41 @@ ROW = pa.schema([("bucket", pa.int64()), ("source", pa.string()), ("p", pa.float
 
 
 def _rounded(level: int, last: bool, seed: int):
-    """Pairs the rows of each (bucket, source), which come sorted; holds one row at a time."""
+    """Pairs the rows of each (bucket, source), which come sorted, large ones first.
+
+    A task holds one row and the last of each power of two of sizes, which go up the tree as they are: going down in size,
+    they take up there what larger rows leave.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, draw = None, None, random.Random()
+        key, held, draw, reserve = None, None, random.Random(), {}
+
+        def put(row: tuple, out: list) -> None:
+            x, bucket, source, rest = row
+            out.append((bucket, source, x[0], x[1], *rest))
+
+        def pair(row: tuple, out: list) -> None:
+            nonlocal held
+            if held is None:
+                held = row
+                return
+            transfer(held[0], row[0], draw)
+            both, held = (held, row), None
+            for one in both:
+                if 0 < one[0][0] < 1:
+                    held = one
+                else:
+                    put(one, out)
 
         def close(out: list) -> None:
             nonlocal held
+            for row in reserve.values():
+                put(row, out)
+            reserve.clear()
             if held is not None:
-                _, bucket, source, rest = held
-                p = held[0][0]
                 if last:
-                    p = float(draw.random() < p)
-                out.append((bucket, source, p, held[0][1], *rest))
+                    held[0][0] = float(draw.random() < held[0][0])
+                put(held, out)
             held = None
 
         for batch in batches:
@@ -112,16 +134,10 @@ def _rounded(level: int, last: bool, seed: int):
                     out.append((bucket, source, float(p >= 1), size, *rest))
                     continue
                 row = ([p, size], bucket, source, rest)
-                if held is None:
-                    held = row
-                    continue
-                transfer(held[0], row[0], draw)
-                both, held = (held, row), None
-                for x in both:
-                    if 0 < x[0][0] < 1:
-                        held = x
-                    else:
-                        out.append((bucket, source, x[0][0], x[0][1], *x[3]))
+                if not last:
+                    row, reserve[size.bit_length()] = reserve.get(size.bit_length()), row
+                if row is not None:
+                    pair(row, out)
             if out:
                 yield _batch(out)
         close(rest := [])

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import decontaminate, mixing, simhash, tokens, toxicity
+from siltstone.llm import decontaminate, mixing, simhash, similar, tokens, toxicity
 from siltstone.llm.common import shared_uri, table
 from siltstone.llm.queries import vocabulary
 
@@ -24,8 +24,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of near-duplicates: that of the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each set that shares 80 % of its five-word shingles: that of the smallest doc_id."""
+    return simhash.keep_one(docs, similar.components)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ that it reaches (null where there is none); an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -247,14 +247,14 @@ def components(docs: DataFrame, extra: list[Column] | None = None) -> DataFrame:
     return rows.join(classes, "fp", "left")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: that of the smallest doc_id.
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame, list[Column]], DataFrame] = components) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component that ``grouped`` gives: that of the smallest doc_id.
 
     Of rows that share the id, one stays; of a component whose ids are all null, one row stays.
     """
     # rows that share an id are told apart by their text; keys that are never null let the last step keep the join's partitions
     keys = {"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64("text")}
-    rows = components(docs, [keys["__t"].alias("t")])
+    rows = grouped(docs, [keys["__t"].alias("t")])
     chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("t").alias("__a"))
     chosen = chosen.select(F.coalesce("component_id", F.lit(NO_ID)).alias("__id"), "__a")
     kept = docs.withColumns(keys).join(chosen, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__a")), "left_semi")

@@ -2,7 +2,8 @@
 
 A text is lower-cased, cut into sentences and freed of everything but ASCII letters and digits. Sentences that the table
 knows give its identifiers, in the text's order; a rule is a sequence of identifiers, found where they follow each
-other with no other known sentence between. All of it is SQL functions over the row: no shuffle, no Python.
+other with no other known sentence between. A known sentence may be wrapped over lines, with comment leaders, and may
+hold colons, semicolons and full stops; the DuckDB SQL knows those on one line without such signs only. All of it is SQL functions over the row: no shuffle, no Python.
 
 Defined cases: a null or empty text has no sentence and no licence; a notice that comes twice counts once; several licences are
 listed in the order of their names; repeated rows and null ids are kept as they come; extra columns are ignored.
@@ -10,6 +11,8 @@ listed in the order of their names; repeated rows and null ids are kept as they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +75,23 @@ OVERRULED = {"BSD-2-Clause": "BSD-3-Clause"}
 _ENDS = r"[.!?;:][ \t\r]+|[.!?;:]?\n"
 
 
+def _unwrapper(sentence: str) -> Callable[[Column], Column]:
+    words = sentence.split()
+    way = rf"(^|\n|[.!?;:][ \t\r])[^a-z0-9]*{'[^a-z0-9]+'.join(words)}(?=[^a-z0-9\n]*(?:\n|$)|[^a-z0-9\n]*[.!?;:][ \t\r])"
+    rare = max(words, key=len)
+    return lambda x: F.when(F.contains(x, F.lit(rare)), F.regexp_replace(x, way, f"$1\n{sentence}")).otherwise(x)
+
+
+def unwrapped(lowered: Column) -> Column:
+    """The text with each known sentence on a line of its own, however lines, comment leaders and inner signs part its words."""
+    for sentence in sorted(SENTENCES, key=len, reverse=True):
+        lowered = let(lowered, _unwrapper(sentence))
+    return lowered
+
+
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text."""
-    marked = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _ENDS, "\n")
+    marked = F.regexp_replace(unwrapped(F.lower(F.coalesce(text, F.lit("")))), _ENDS, "\n")
     plain = F.regexp_replace(F.regexp_replace(marked, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
     return F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
 

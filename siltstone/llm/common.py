@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 from pathlib import Path
 
 import numpy as np
@@ -35,6 +36,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in count() if (n := name + "_" * k).lower() not in taken) for name in names]
+
+
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WORD, cut, parts
+from siltstone.llm.common import WORD, cut, fresh, parts
 
 WEIGHTS = (5, 2, 1)
 FAN = 32
@@ -57,18 +57,30 @@ def targets(rows: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[i
     table = ranked(sums).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
     table = cut(table)
     whole, total = table.agg(F.sum("source_size"), F.sum("weight")).first()
-    goal, full, open_weight, level = share * (whole or 0), 0, total or 0, 0.0
-    while open_weight:
-        level = (goal - full) / open_weight
-        stops = F.col("weight") * F.lit(level) >= most * F.col("source_size")
-        now = table.agg(F.sum(F.when(stops, most * F.col("source_size")).otherwise(0)), F.sum(F.when(stops, 0).otherwise(F.col("weight")))).first()
-        if (now[0], now[1]) == (full, open_weight):
-            break
-        full, open_weight = now
+    level = fill_level(table, share * whole, most) if total else 0.0
     reached = F.least((most * F.col("source_size")).cast("double"), F.col("weight") * F.lit(float(level)))
     return table.select("source", "source_size", reached.alias("target"))
 
 
+def fill_level(table: DataFrame, goal: float, most: int, width: int = 64) -> float:
+    """The target per weight at which the targets, none above ``most`` times its source's size, sum up to ``goal``.
+
+    A source is full from its own level on (``most`` times size by weight). Each job looks at ``width`` levels at once, so
+    their number is bounded by the digits of a level, not by the number of sources.
+    """
+    room, weight, low, high = most * F.col("source_size"), F.col("weight"), -1.0, float("inf")
+    own = room / weight
+    while True:
+        inside = (own > low) & (own < high)
+        near, far, full, rest = table.agg(F.min(F.when(inside, own)), F.max(F.when(inside, own)), F.sum(F.when(own <= low, room).otherwise(0)), F.sum(F.when(own <= low, 0).otherwise(weight))).first()
+        if near is None:
+            return (goal - full) / rest if rest else max(low, 0.0)
+        steps = sorted({near, far, *(near + (far - near) * k / width for k in range(1, width))})
+        sums = table.agg(*(F.sum(F.least(room.cast("double"), weight * F.lit(x))) for x in steps)).first()
+        low = max([low, *(x for x, n in zip(steps, sums, strict=True) if n < goal)])
+        high = min([high, *(x for x, n in zip(steps, sums, strict=True) if n >= goal)])
+
+
 def transfer(a: list, b: list, draw: random.Random) -> None:
     """Pass probability between two rows [probability, size, ...] until one of them is whole."""
     ratio = a[1] / b[1]
@@ -186,9 +198,10 @@ def plan(docs: DataFrame, **how) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    copies = plan(docs, **how).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("tag").alias("__tag")).agg(F.sum("copies").alias("__copies"))
+    i, t, n, of, mark, copies = fresh(docs, "__i", "__t", "__n", "__id", "__tag", "__copies")
+    drawn = plan(docs, **how).groupBy(F.coalesce("doc_id", F.lit(-(1 << 63))).alias(of), F.col("tag").alias(mark)).agg(F.sum("copies").alias(copies))
     tag = F.xxhash64("text", F.col("source").cast("string"), F.isnull("doc_id"))
-    keyed = docs.withColumns({"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__t": tag})
-    found = keyed.join(copies.where("__copies > 0"), (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__tag")))
-    found = found.dropDuplicates(["__i", "__t"])  # equal rows: their copies are summed
-    return found.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    keyed = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), t: tag})
+    found = keyed.join(drawn.where(F.col(copies) > 0), (F.col(i) == F.col(of)) & (F.col(t) == F.col(mark)))
+    found = found.dropDuplicates([i, t])  # equal rows: their copies are summed
+    return found.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

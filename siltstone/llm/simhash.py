@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from siltstone.llm.common import cut, parts
+from siltstone.llm.common import cut, fresh, parts
 
 BUDGET = 2
 EXACT = 21
@@ -82,11 +82,14 @@ def rotated(fps: DataFrame) -> DataFrame:
     return rows.select(path.alias("path"), F.lit(0).alias("err"), F.lit(0).alias("side"), F.col("t.r").alias("r"), "fp")
 
 
-def deepen(rows: DataFrame, depth: int) -> DataFrame:
-    """Give each row of large node pairs to the pairs of children it can have links in: those within the bits left."""
-    bits = min(STEP, 64 - depth)
+def deepen(rows: DataFrame, depth: int, stop: int = 64) -> DataFrame:
+    """Give each row of large node pairs to the pairs of children it can have links in: those within the bits left.
+
+    From depth ``stop`` on, children are paired with themselves only.
+    """
+    bits = min(STEP, 64 - depth if depth >= stop else stop - depth)
     code = _codes(F.col("r"), 64 - depth - bits, bits)
-    masks = {e: [m for m in range(1 << bits) if bin(m).count("1") <= BUDGET - e] for e in range(BUDGET + 1)}
+    masks = {e: [m for m in range(1 << bits) if bin(m).count("1") <= (BUDGET - e if depth < stop else 0)] for e in range(BUDGET + 1)}
     mask = F.when(F.col("err") == 0, F.array(*map(F.lit, masks[0]))).when(F.col("err") == 1, F.array(*map(F.lit, masks[1]))).otherwise(F.array(*map(F.lit, masks[2])))
     rows = rows.select("*", code.alias("c"), F.explode(mask).alias("m")).withColumn("o", F.col("c").bitwiseXOR(F.col("m")))
     same = F.col("side") == 0  # 0: a node with itself; 1 and 2: the two nodes of a pair
@@ -94,11 +97,16 @@ def deepen(rows: DataFrame, depth: int) -> DataFrame:
     right = F.when(same, F.greatest("c", "o")).when(F.col("side") == 1, F.col("o")).otherwise(F.col("c"))
     side = F.when(same & (F.col("m") == 0), 0).when(same, F.when(F.col("c") < F.col("o"), 1).otherwise(2)).otherwise(F.col("side"))
     path = F.concat_ws(":", "path", F.hex(left), F.hex(right))
-    return rows.select(path.alias("path"), (F.col("err") + F.bit_count("m")).cast("int").alias("err"), side.cast("int").alias("side"), "r", "fp")
+    kept = [c for c in rows.columns if c not in ("path", "err", "side", "c", "m", "o")]
+    return rows.select(path.alias("path"), (F.col("err") + F.bit_count("m")).cast("int").alias("err"), side.cast("int").alias("side"), *kept)
 
 
-def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of linked rows, in arrays of bounded size; rows come sorted by group, side and r (unsigned)."""
+def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, depth: int, stop: int = 64, joined: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of linked rows, in arrays of bounded size; rows come sorted by group, side and r (unsigned).
+
+    The trie ends at depth ``stop``; below it all rows of a pair of nodes are paired. ``joined`` tells for a level and
+    pairs of its nodes (their first rows) which pairs have nothing more to say.
+    """
     n = len(r)
     first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (side[1:] != side[:-1])])
     alone = side[first] == 0
@@ -110,9 +118,11 @@ def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, d
     while True:
         node = np.cumsum(np.bincount(starts, minlength=n)) - 1
         size = np.diff(np.r_[starts, n])
-        bits = min(STEP, 64 - depth)
-        if not bits:
-            levels.append((size, None, None, starts))
+        bits = min(STEP, stop - depth)
+        if bits <= 0:
+            if stop < 64:
+                levels.append((size, np.zeros(n, np.int8), np.r_[starts, n], starts))
+            levels.append((size if stop == 64 else np.ones(n, np.int64), None, None, starts if stop == 64 else np.arange(n)))
             break
         code = ((r >> np.uint64(64 - depth - bits)) & np.uint64((1 << bits) - 1)).astype(np.int8)
         below = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (code[1:] != code[:-1])])
@@ -124,6 +134,8 @@ def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, d
         level, a, b, e = open_pairs.pop()
         size, letter, start, rows = levels[level]
         live = (a != b) | (size[a] > 1)
+        if joined is not None:
+            live &= ~joined(level, rows, a, b)
         a, b, e = a[live], b[live], e[live]
         if letter is None:
             yield rows[a], rows[b]
@@ -253,9 +265,10 @@ def keep_one(docs: DataFrame, grouped: Callable[[DataFrame, list[Column]], DataF
     Of rows that share the id, one stays; of a component whose ids are all null, one row stays.
     """
     # rows that share an id are told apart by their text; keys that are never null let the last step keep the join's partitions
-    keys = {"__i": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__t": F.xxhash64("text")}
-    rows = grouped(docs, [keys["__t"].alias("t")])
-    chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("t").alias("__a"))
-    chosen = chosen.select(F.coalesce("component_id", F.lit(NO_ID)).alias("__id"), "__a")
-    kept = docs.withColumns(keys).join(chosen, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__a")), "left_semi")
-    return kept.dropDuplicates(["__i", "__t"]).select(*docs.columns)
+    i, t, least, its = fresh(docs, "__i", "__t", "__id", "__a")
+    keys = {i: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), t: F.xxhash64("text")}
+    rows = grouped(docs, [keys[t].alias("t")])
+    chosen = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("t").alias(its))
+    chosen = chosen.select(F.coalesce("component_id", F.lit(NO_ID)).alias(least), its)
+    kept = docs.withColumns(keys).join(chosen, (F.col(i) == F.col(least)) & (F.col(t) == F.col(its)), "left_semi")
+    return kept.dropDuplicates([i, t]).select(*docs.columns)

@@ -79,6 +79,15 @@ def test_keep_one(docs, rows):
     assert all((r["doc_id"] is not None) == (root in named) for r, root in zip(kept, roots, strict=True))
 
 
+def test_names_that_helpers_have(docs):
+    odd = docs.withColumns({n: F.lit(k) for k, n in enumerate(("__i", "__T", "__id", "__a", "t", "fp2", "root", "component_id", "owner", "copies", "start"))})
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert {tuple(r) for r in kept.select("__i", "__T", "__id", "__a").collect()} == {(0, 1, 2, 3)}
+    assert kept.count() == simhash.keep_one(docs).count()
+    assert substrings.digests(odd).count() == docs.count()
+
+
 def test_empty(no_docs):
     assert simhash.components(no_docs).count() == 0
     assert simhash.keep_one(no_docs).count() == 0

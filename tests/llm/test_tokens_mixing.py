@@ -94,6 +94,22 @@ def test_mix(docs, rows):
     assert words == +taken
 
 
+def test_levels(spark):
+    draw = random.Random(3)
+    for k in range(6):
+        sizes = {f"s{i:03d}": draw.choice([0, 1, 10, 10, 1000, draw.randint(1, 10**6)]) for i in range([1, 2, 5, 60, 60, 3][k])}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+        assert got == pytest.approx(slow_targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0.0))
+
+
+def test_names_that_helpers_have(spark, docs):
+    odd = docs.withColumns({n: F.lit(k) for k, n in enumerate(("__i", "__T", "__n", "__id", "__tag", "__copies", "copies", "rate", "p", "whole", "target"))})
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() == mixing.mix(docs).count()
+    assert {tuple(r) for r in mixed.select("__i", "__T", "__n", "__copies").collect()} == {(0, 1, 2, 5)}
+
+
 def test_rounding_keeps_expectations(spark):
     rows = spark.range(6_000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("tag"), (F.col("id") % 50 + 1).alias("size"))
     goals = spark.createDataFrame([("s", 153_000, 0.3 * 153_000)], "source string, source_size long, target double")

@@ -32,11 +32,10 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
-def cutoffs(alpha: float = 0.02, delta: float = 0.05, least: int = 100) -> str:
+def cutoffs(alpha: float = 0.05, delta: float = 0.05, least: int = 100) -> str:
     """Quality figures and verdicts; the binomial tail is a sum over a list."""
-    p = alpha / len(quality.RATIOS)
-    ratios = " UNION ALL ".join(f"SELECT doc_id, lang, '{name}' AS ratio, {expression} AS value FROM figures" for name, expression in quality.RATIOS.items())
-    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+    steps = " ".join(f"WHEN {quality.RATIOS[ratio]} > {most}::DOUBLE THEN {n}" for n, (ratio, most) in enumerate(quality.CHAIN, 1))
+    tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha}))))"
     return f"""
     WITH docs AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
     windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs WHERE len(w) > 2))),
@@ -47,15 +46,14 @@ def cutoffs(alpha: float = 0.02, delta: float = 0.05, least: int = 100) -> str:
              CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(x) AS BIGINT) AS n_lines
       FROM docs JOIN rows USING (doc_id) LEFT JOIN again USING (doc_id)),
-    figures AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed FROM base),
-    ratios AS ({ratios}),
-    held AS (SELECT r.* FROM ratios r JOIN figures f USING (doc_id) WHERE NOT f.base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-    grid AS (SELECT unnest([{", ".join(f"{g}::DOUBLE" for g in quality.GRID)}]) AS g),
-    counts AS (SELECT lang, ratio, g, count(*) AS n, count(*) FILTER (value > g) AS k FROM held, grid GROUP BY ALL HAVING count(*) >= {least}),
-    tests AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang, ratio FROM counts)) AS m FROM counts),
-    judged AS (SELECT lang, ratio, g, k < {p} * n AND CASE WHEN k < {p} * n THEN {tail} ELSE 1 END <= {delta} / m AS safe FROM tests),
-    cuts AS (SELECT lang, ratio, min(g) AS cut FROM (SELECT *, bool_and(safe) OVER (PARTITION BY lang, ratio ORDER BY g DESC) AS passed FROM judged) WHERE passed GROUP BY lang, ratio),
-    bad AS (SELECT DISTINCT r.doc_id FROM ratios r JOIN cuts c ON r.lang IS NOT DISTINCT FROM c.lang AND r.ratio = c.ratio WHERE r.value > c.cut)
-    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad WHERE doc_id IS NOT NULL) AS kept
-    FROM figures
+    figures AS (SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed, CASE {steps} END AS step FROM base),
+    held AS (SELECT lang, step, count(*) OVER (PARTITION BY lang) >= {least} AS large FROM figures WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+    counts AS (SELECT large, CASE WHEN large THEN lang END AS lang, s, count(*) AS n, count(*) FILTER (step <= s) AS k FROM held, (SELECT unnest(range(1, {len(quality.CHAIN) + 1})) AS s) GROUP BY ALL),
+    tests AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT large, lang FROM counts)) AS m FROM counts),
+    judged AS (SELECT large, lang, s, k < {alpha} * n AND CASE WHEN k < {alpha} * n THEN {tail} ELSE 1 END <= {delta} / m AS safe FROM tests),
+    steps AS (SELECT large, lang, max(s) AS last FROM (SELECT *, bool_and(safe) OVER (PARTITION BY large, lang ORDER BY s) AS passed FROM judged) WHERE passed GROUP BY large, lang),
+    own AS (SELECT f.*, coalesce(a.last, CASE WHEN EXISTS (SELECT 1 FROM counts c WHERE c.large AND c.lang IS NOT DISTINCT FROM f.lang) THEN 0 ELSE coalesce((SELECT max(last) FROM steps WHERE NOT large), 0) END) AS last
+            FROM figures f LEFT JOIN steps a ON a.large AND a.lang IS NOT DISTINCT FROM f.lang)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(step > last, true) AS kept
+    FROM own
     """

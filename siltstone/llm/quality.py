@@ -1,21 +1,26 @@
 """Quality rules whose cutoffs come from labelled holdouts with exact binomial bounds.
 
-Features of a document are plain SQL expressions. Within each stratum (language) and for each ratio a grid of
-cutoffs is tested, from the highest down: rejecting above a cutoff is safe if, were the true share of good documents
-rejected ``alpha`` or more, so few rejections among the labelled good ones would have a probability of at most ``delta``
-divided by the number of strata and ratios (Bonferroni). The first cutoff that isn't safe ends the sequence, so the
-grid needs no further correction; the last safe one is used. Where none is safe the ratio rejects nothing in that
-stratum. ``alpha`` is shared out among the ratios, so their union keeps the bound.
-
-Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own;
-a null doc_id is judged but never joined to a label; repeated rows are judged alike; ties at a cutoff are kept
+Features of a document are plain SQL expressions. ``CHAIN`` is a fixed sequence of cutoffs on their ratios, each step
+adding to the rule or tightening it: a document is rejected if any ratio is above its cutoff. In each stratum (language) the
+steps are tested in that order on the labelled good documents: a rule is safe if, were the true share of good
+documents it rejects ``alpha`` or more, so few rejections would have a probability of at most ``delta`` divided by
+the number of strata (Bonferroni). The first step that isn't safe ends the sequence, so the steps need no further correction, and
+the last safe rule is used; the whole rule, not each ratio, keeps the bound. Strata with fewer than ``least`` labelled good
+documents are tested together as one, and the bound is that of their mixture.
+
+Repeated windows are found by 64-bit hashes in sorted order, and the words of those found are compared; a text in which two different
+windows have one hash is sorted by the words themselves.
+
+Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own (pooled if
+small); a null doc_id is judged but never joined to a label; repeated rows are judged alike; ties at a cutoff are kept
 (only a ratio above it rejects); without labels only the base rule decides; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,13 +37,19 @@ RATIOS = {
     "r_repeats": "n_repeat_words / greatest(n_words, 1)",
     "r_long_words": "word_chars / greatest(n_words, 1)",
 }
-GRID = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 6.0, 7.0, 8.0, 9.0, 10.0, 12.0, 15.0)
+#: Steps of the rule, from what good documents never show to what some do.
+CHAIN = (
+    *(("r_symbols", cut) for cut in (0.5, 0.3, 0.2, 0.1, 0.05, 0.02, 0.01)),
+    *(("r_long_words", cut) for cut in (15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
+    *(("r_lines", cut) for cut in (0.6, 0.5, 0.4, 0.3)),
+    *(("r_repeats", cut) for cut in (0.45, 0.4, 0.35, 0.3, 0.25)),
+)
 
 
 def _repeated(words: Column) -> Column:
     """How many words stand in windows of three that the text holds twice or more."""
 
-    def covered(sorted_windows: Column) -> Column:
+    def covered(sorted_windows: Column, exact: bool) -> Column:
         n = F.size(sorted_windows)
 
         def again(window: Column, at: Column) -> Column:
@@ -46,15 +57,30 @@ def _repeated(words: Column) -> Column:
             after = F.get(sorted_windows, at + 1)["h"] == window["h"]
             return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
-        starts = F.transform(F.filter(sorted_windows, again), lambda w: w["at"])
-        every = F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))
-        return F.when(n < 2, 0).otherwise(F.size(F.array_distinct(every)))
+        def count(found: Column) -> Column:
+            every = F.flatten(F.transform(found, lambda w: F.array(w["at"], w["at"] + 1, w["at"] + 2)))
+            return F.size(F.array_distinct(every))
 
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(words) - WINDOW),
-        lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("at")),
-    )
-    return F.when(F.size(words) <= WINDOW, 0).otherwise(let(F.sort_array(windows), covered))
+        def compared(found: Column) -> Column:
+            def clash(i: Column) -> Column:
+                a, b = F.get(found, i), F.get(found, i - 1)
+                differ = [F.get(words, a["at"] + k) != F.get(words, b["at"] + k) for k in range(WINDOW)]
+                return (a["h"] == b["h"]) & (differ[0] | differ[1] | differ[2])
+
+            clashes = F.exists(F.sequence(F.lit(1), F.size(found) - 1), clash)
+            return F.when(F.size(found) < 2, 0).when(clashes, let(F.sort_array(windows(F.concat_ws)), lambda w: covered(w, True))).otherwise(count(found))
+
+        found = F.filter(sorted_windows, again)
+        return F.when(n < 2, 0).otherwise(count(found) if exact else let(found, compared))
+
+    def windows(key: Callable) -> Column:
+        own = (lambda *w: key(" ", *w)) if key is F.concat_ws else key
+        return F.transform(
+            F.sequence(F.lit(0), F.size(words) - WINDOW),
+            lambda i: F.struct(own(*(F.get(words, i + k) for k in range(WINDOW))).alias("h"), i.alias("at")),
+        )
+
+    return F.when(F.size(words) <= WINDOW, 0).otherwise(let(F.sort_array(windows(F.xxhash64)), lambda w: covered(w, False)))
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -89,39 +115,45 @@ def safe(k: int, n: int, p: float, level: float) -> bool:
     return n > 0 and k < p * n and tail(k, n, p) <= level
 
 
-def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05, stratum: str = "lang", least: int = 100) -> dict:
-    """{(stratum, ratio): cutoff} learned from the labelled good rows that pass the base rule.
+#: The stratum of all those that are too small to be tested alone.
+POOLED = "\x00pooled"
+
+
+def first_step() -> Column:
+    """The first step of the chain that rejects a row; null where none does."""
+    step = F.when(F.lit(False), 0)
+    for n, (ratio, most) in enumerate(CHAIN, 1):
+        step = step.when(F.expr(RATIOS[ratio]) > most, n)
+    return step
+
+
+def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05, stratum: str = "lang", least: int = 100) -> dict:
+    """{stratum: steps of the chain that are safe}, learned from the labelled good rows that pass the base rule.
 
-    Counts are summed over all labelled rows; strata with fewer than ``least`` good rows can't be certified and
-    aren't returned, so at most (labelled rows / ``least``) strata reach the driver, as counts.
+    Counts are summed over all labelled rows; what reaches the driver is a row for each stratum of ``least`` good rows or more, and one.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     held = rows.where(~base_failed()).join(good, "doc_id", "left_semi")
-    held = held.select(F.col(stratum).alias("stratum"), *(F.expr(e).alias(r) for r, e in RATIOS.items()))
-    above = [F.count_if(F.col(r) > g).alias(f"{r}_{i}") for r in RATIOS for i, g in enumerate(GRID)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *above).where(F.col("n") >= least).collect()
-    level, found = delta / max(1, len(counts) * len(RATIOS)), {}
+    held = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(first_step() <= k).alias(f"k{k}") for k in range(1, len(CHAIN) + 1)))
+    sums = [F.sum(c).alias(c) for c in held.columns[1:]]
+    large = F.col("n") >= least
+    counts = held.groupBy(large.alias("large"), F.when(large, F.col("stratum")).alias("stratum")).agg(*sums).collect()
+    level, found = delta / max(1, len(counts)), {}
     for row in counts:
-        for r in RATIOS:
-            for i, g in reversed([*enumerate(GRID)]):
-                if not safe(row[f"{r}_{i}"], row["n"], alpha / len(RATIOS), level):
-                    break
-                found[row["stratum"], r] = g
+        steps = 0
+        while steps < len(CHAIN) and safe(row[f"k{steps + 1}"], row["n"], alpha, level):
+            steps += 1
+        found[row["stratum"] if row["large"] else POOLED] = steps
     return found
 
 
 def verdict(found: dict, stratum: str = "lang") -> Column:
-    """True where no ratio is above its stratum's cutoff."""
-    by: dict = defaultdict(list)
-    for (of, ratio), most in found.items():
-        by[of].append(F.expr(RATIOS[ratio]) <= most)
-    kept = F.lit(True)
-    for of, rules in by.items():
-        rule = rules[0]
-        for more in rules[1:]:
-            rule &= more
-        kept = F.when(F.col(stratum).eqNullSafe(F.lit(of)), rule).otherwise(kept)
-    return kept
+    """True where no step that is safe in the row's stratum rejects it."""
+    steps = F.lit(found.get(POOLED, 0))
+    for of, n in found.items():
+        if of != POOLED:
+            steps = F.when(F.col(stratum).eqNullSafe(F.lit(of)), n).otherwise(steps)
+    return F.coalesce(first_step() > steps, F.lit(True))
 
 
 def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -4,12 +4,12 @@ The documents are dealt out by ranges of their key and sorted; each task encodes
 as it goes, so a shard holds neighbouring documents and shards follow each other. A shard file is
 
     "TOKSHRD1" | payload: ids, little-endian, 2 bytes each if the vocabulary allows, else 4
-    | arrays of the index | JSON: their names, types, lengths, the key range | length of the JSON (8 bytes) | "TOKSHRD1"
+    | arrays of the index and of the records | JSON: lengths of the arrays and levels | length of the JSON (8 bytes) | "TOKSHRD1"
 
 The index is a minimal perfect hash over the shard's keys: levels of bit arrays, each key at the first level where no
 other one falls on its bit, the number of bits before it being its slot. A slot has a fingerprint of the key, so that keys
-that aren't there are told, and the number of the key's first record; records have their offset. Keyed access takes a look
-at each level (two on average) and one read, however many documents there are.
+that aren't there are told (the stored key settles it), the key's first record and how many follow each other; records have their offset.
+Keyed access reads one word at each level (two on average), the slot, the key, the offsets and the ids, however many documents there are.
 
 Files are written under a name of the attempt's own, and only the names that tasks return are read: a lost or
 repeated task leaves a file that nothing refers to.
@@ -27,7 +27,7 @@ import string
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import compress, count
 from operator import not_
@@ -53,7 +53,7 @@ class Encoder:
     Byte-level pre-tokenizers always cut before a single space between two characters that aren't white space, before
     a full stop or comma after an ASCII letter at a piece's end, and on both sides of a single line feed between two that
     aren't white space. So the pieces between single spaces are encoded on their own and kept, in two generations of bounded size;
-    a text with other white space beside a space is encoded whole.
+    a text with other white space beside a space, or with the string of an added token (one id then), is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -61,7 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
         self.splits = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
@@ -124,6 +124,9 @@ class Encoder:
             return self._plain([t or "" for t in texts])
         get, rows, missing = self.known.get, [], set()
         for text in texts:
+            if text and any(a in text for a in self.added):
+                rows.append((text, "", [], [], []))
+                continue
             pieces = (text or "").split(" ")
             first = pieces.pop(0)
             ids = list(map(get, pieces))
@@ -182,47 +185,62 @@ def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+WORD = np.dtype([("bits", "<u8"), ("before", "<i8")])
+
+
 @dataclass
 class PerfectHash:
-    """Levels of bits, and how many are set before each 64 of them."""
+    """Words of 64 bits of all levels, each with the number of bits set before it, and the bits of each level."""
 
-    bits: np.ndarray  # uint64 words of all levels
-    sizes: np.ndarray  # bits of each level, multiples of 64
-    before: np.ndarray  # set bits before each word
+    words: np.ndarray
+    sizes: list[int]
 
     @classmethod
     def build(cls, keys: np.ndarray, load: float = 2.0) -> PerfectHash:
-        words, sizes, left, level = [], [], keys.astype(np.int64), 0
+        found, sizes, left, level = [np.zeros(0, np.uint64)], [], keys.astype(np.int64), 0
         while len(left):
             size = -(-int(load * len(left) + 1) // 64) * 64
             at = (_mixed(left, level) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
-            words.append(np.packbits(alone, bitorder="little").view(np.uint64))
+            found.append(np.packbits(alone, bitorder="little").view(np.uint64))
             sizes.append(size)
             left, level = left[~alone[at]], level + 1
-        bits = np.concatenate(words) if words else np.zeros(0, np.uint64)
-        before = np.cumsum(np.bitwise_count(bits), dtype=np.int64)
-        return cls(bits, np.array(sizes, np.int64), before - np.bitwise_count(bits))
+        words = np.zeros(sum(map(len, found)), WORD)
+        words["bits"] = np.concatenate(found)
+        set_bits = np.bitwise_count(words["bits"]).astype(np.int64)
+        words["before"] = np.cumsum(set_bits) - set_bits
+        return cls(words, sizes)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slots in 0 to n-1, -1 for a key that falls on no bit."""
-        out, base = np.full(len(keys), -1, np.int64), 0
-        open_keys = np.arange(len(keys))
-        for level, size in enumerate(self.sizes.tolist()):
-            at = (_mixed(keys[open_keys], level) % np.uint64(size)).astype(np.int64) + base
-            word, bit = self.bits[at >> 6], (at & 63).astype(np.uint64)
-            here = (word >> bit) & np.uint64(1) == 1
-            below = np.bitwise_count(word[here] & ((np.uint64(1) << bit[here]) - np.uint64(1)))
-            out[open_keys[here]] = self.before[at[here] >> 6] + below
-            open_keys = open_keys[~here]
-            base += size
-        return out
+        return _slots(keys, self.sizes, self.words.__getitem__)
+
+
+def _slots(keys: np.ndarray, sizes: list[int], words: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Slots of keys, level by level; ``words`` gives the index's words at some places."""
+    out, base = np.full(len(keys), -1, np.int64), 0
+    open_keys = np.arange(len(keys))
+    for level, size in enumerate(sizes):
+        if not len(open_keys):
+            break
+        at = (_mixed(keys[open_keys], level) % np.uint64(size)).astype(np.int64) + base
+        word, bit = words(at >> 6), (at & 63).astype(np.uint64)
+        here = (word["bits"] >> bit) & np.uint64(1) == 1
+        below = np.bitwise_count(word["bits"][here] & ((np.uint64(1) << bit[here]) - np.uint64(1)))
+        out[open_keys[here]] = word["before"][here] + below
+        open_keys = open_keys[~here]
+        base += size
+    return out
 
 
 def _prints(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys, 1 << 20) >> np.uint64(32)).astype(np.uint32)
 
 
+SLOT = np.dtype([("print", "<u4"), ("first", "<u4"), ("run", "<u4")])
+ARRAYS = {"words": WORD, "slots": SLOT, "keys": np.dtype("<i8"), "offsets": np.dtype("<i8")}
+
+
 class ShardWriter:
     """One shard file; documents come in the order of their keys, null ones last."""
 
@@ -252,12 +270,12 @@ class ShardWriter:
         keys = np.array(self.keys, np.int64)
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         index = PerfectHash.build(keys[first])
-        slots = index.slots(keys[first])
-        prints, records = np.zeros(len(first), np.uint32), np.zeros(len(first), np.uint32)
-        prints[slots], records[slots] = _prints(keys[first]), first
+        at, slots = index.slots(keys[first]), np.zeros(len(first), SLOT)
+        for name, values in (("print", _prints(keys[first])), ("first", first), ("run", np.diff(np.r_[first, len(keys)]))):
+            slots[name][at] = values
         offsets = np.r_[0, np.cumsum(self.counts)].astype(np.int64)
-        arrays = {"bits": index.bits, "sizes": index.sizes, "before": index.before, "prints": prints, "records": records, "keys": keys, "offsets": offsets}
-        note = {"width": self.width, "nulls": self.nulls, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}
+        arrays = {"words": index.words, "slots": slots, "keys": keys, "offsets": offsets}
+        note = {"width": self.width, "nulls": self.nulls, "levels": index.sizes, "arrays": [len(arrays[k]) for k in ARRAYS]}
         for value in arrays.values():
             self.file.write(value.tobytes())
         raw = json.dumps(note).encode()
@@ -277,35 +295,46 @@ class Shard:
         assert tail[8:] == MAGIC, f"{name} is not a whole shard"
         length = int.from_bytes(tail[:8], "little")
         note = json.loads(self.file.read_at(length, size - 16 - length))
-        self.type, self.nulls = np.dtype(f"<u{note['width']}"), note["nulls"]
-        at = size - 16 - length - sum(np.dtype(t).itemsize * n for _, t, n in note["arrays"])
-        self.data: dict[str, np.ndarray] = {}
-        for k, t, n in note["arrays"]:
-            self.data[k] = np.frombuffer(self.file.read_at(np.dtype(t).itemsize * n, at), t)
-            at += np.dtype(t).itemsize * n
-        self.hash = PerfectHash(self.data["bits"], self.data["sizes"], self.data["before"])
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The first record of each key, -1 for those that the shard doesn't have."""
-        slots = self.hash.slots(keys)
-        there = slots >= 0
-        there[there] = self.data["prints"][slots[there]] == _prints(keys[there])
-        out = np.full(len(keys), -1, np.int64)
-        out[there] = self.data["records"][slots[there]]
-        return out
+        self.type, self.nulls, self.levels = np.dtype(f"<u{note['width']}"), note["nulls"], note["levels"]
+        self.length = dict(zip(ARRAYS, note["arrays"], strict=True))
+        self.start, at = {}, size - 16 - length
+        for name in reversed(ARRAYS):
+            at -= ARRAYS[name].itemsize * self.length[name]
+            self.start[name] = at
+
+    def part(self, name: str, at: int = 0, n: int | None = None) -> np.ndarray:
+        """Some entries of one of the file's arrays, or all; only these are read."""
+        width = ARRAYS[name].itemsize
+        n = self.length[name] - at if n is None else n
+        return np.frombuffer(self.file.read_at(width * n, self.start[name] + width * at), ARRAYS[name])
 
-    def read(self, record: int) -> np.ndarray:
-        """The ids of a record."""
-        a, b = self.data["offsets"][record : record + 2].tolist()
+    def get(self, key: int) -> list[np.ndarray]:
+        """The ids of every document with this key; what is read doesn't grow with the shard."""
+        wanted = np.array([key], np.int64)
+        slot = int(_slots(wanted, self.levels, lambda at: self.part("words", int(at[0]), 1))[0])
+        if slot < 0:
+            return []
+        found = self.part("slots", slot, 1)[0]
+        first, run = int(found["first"]), int(found["run"])
+        if found["print"] != _prints(wanted)[0] or self.part("keys", first, 1)[0] != key:
+            return []
+        offsets = self.part("offsets", first, run + 1).tolist()
+        return [self.ids(a, b) for a, b in zip(offsets, offsets[1:], strict=False)]
+
+    def ids(self, a: int, b: int) -> np.ndarray:
         return np.frombuffer(self.file.read_at((b - a) * self.type.itemsize, len(MAGIC) + a * self.type.itemsize), self.type)
 
-    def get(self, key: int) -> list[np.ndarray]:
-        """The ids of every document with this key."""
-        record, keys, found = int(self.find(np.array([key], np.int64))[0]), self.data["keys"], []
-        while 0 <= record < len(keys) and keys[record] == key:
-            found.append(self.read(record))
-            record += 1
-        return found
+    def records(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """Key, offset and ids of all documents, each key's through the index; those of null keys come last."""
+        keys, offsets = self.part("keys"), self.part("offsets")
+        slots, words = self.part("slots"), self.part("words")
+        different = np.unique(keys)
+        found = slots[_slots(different, self.levels, words.__getitem__)]
+        for key, first, run in zip(different.tolist(), found["first"].tolist(), found["run"].tolist(), strict=True):
+            for i in range(first, first + run):
+                yield key, int(offsets[i]), self.ids(int(offsets[i]), int(offsets[i + 1]))
+        for i in range(len(keys), len(offsets) - 1):
+            yield None, int(offsets[i]), self.ids(int(offsets[i]), int(offsets[i + 1]))
 
 
 MANIFEST = "part int, seq int, file string, first_key long, last_key long, n_docs long, n_ids long"
@@ -381,17 +410,7 @@ def read(store: Store) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(folder, name)
-                keys = np.unique(shard.data["keys"])
-                first = shard.find(keys)
-                # the records of a key follow each other; those of null keys are the last
-                last = np.r_[first, len(shard.data["keys"])][1:]
-                order = [(int(k), i) for k, a, b in zip(keys, first, last, strict=True) for i in range(a, b)]
-                order += [(None, i) for i in range(len(shard.data["keys"]), len(shard.data["offsets"]) - 1)]
-                out = []
-                for key, record in order:
-                    ids = shard.read(record)
-                    out.append((key, start + int(shard.data["offsets"][record]), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                out = [(key, start + at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for key, at, ids in Shard(folder, name).records()]
                 columns = zip(*out, strict=True) if out else ([], [], [], [])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -20,14 +20,13 @@ def plain():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     return lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
 
 
 def test_encoder_is_exact(plain):
     draw = random.Random(1)
     alphabet = ["a", "B", "é", "ß", "7", "'s", "'", ".", ",", " ", " ", "  ", "\n", "\t", " ", " ", "字", "🙂", "-", "it's", "<|endoftext|>", "\x1c", "́", "x"]
-    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + ["", None, " ", "a ", " a", "a  b", "a \n b"]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(3000)] + ["a b <|endoftext|> c", "<|endoftext|>", "x<|endoftext|>\n", "", None, " ", "a ", " a", "a  b", "a \n b"]
     got = tokens.Encoder(vocabulary()).encode(texts)
     assert [np.frombuffer(b, "<u2").tolist() for b in got] == [plain(t)[:-1] for t in texts]
 
@@ -55,6 +54,34 @@ def test_perfect_hash():
     assert tokens.PerfectHash.build(keys[:0]).slots(keys[:3]).tolist() == [-1] * 3
 
 
+def test_keyed_access_reads_little(tmp_path):
+    """As many bytes from a shard of 200 as from one of 20,000 documents, ids apart; keys that aren't there give nothing."""
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.n = file, 0
+
+        def read_at(self, n, at):
+            self.n += n
+            return self.file.read_at(n, at)
+
+    most = {}
+    for n in (200, 20_000):
+        writer = tokens.ShardWriter(str(tmp_path), f"{n}.shard", 2)
+        for i in range(n):
+            for _ in range(2 if i % 50 == 7 else 1):
+                writer.add(3 * i, np.array([i % 60_000, 1], "<u2").tobytes())
+        writer.close()
+        shard = tokens.Shard(str(tmp_path), f"{n}.shard")
+        shard.file = counted = Counted(shard.file)
+        for i in random.Random(n).sample(range(n), 150):
+            before = counted.n
+            assert [x.tolist() for x in shard.get(3 * i)] == [[i % 60_000, 1]] * (2 if i % 50 == 7 else 1)
+            most[n] = max(most.get(n, 0), counted.n - before)
+        assert all(shard.get(3 * i + 1) == [] for i in range(300))
+    assert most[20_000] <= most[200] + 16 * 8 < 400
+
+
 def test_empty_tokens(no_docs):
     assert tokens.read(tokens.write(no_docs, vocabulary())).count() == 0
 

@@ -21,10 +21,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import column, map_batches
+from siltstone.llm.common import column, cut, map_batches
 
 # Letters of other scripts that look like Latin ones, and their Latin letters.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁԛԝһӏαβεηικνορτυχωɑɡıℓ", "abekmhopctyxijsdqwhlabenikvoptuxwagil", strict=True))
@@ -105,43 +106,63 @@ def held_out_rows(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_terms: int = 5_000, least_share: float = 0.01, least_odds: float = 2.0, least_evidence: float = 10.0) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, least: int = 5, least_odds: float = 2.0, least_evidence: float = 15.0) -> Lexicon:
     """Learn lexicon, exceptions and map from labelled rows that are not held out.
 
-    At most ``max_labelled`` labelled rows are read and at most ``max_terms`` terms kept, so the model and what
-    reaches the driver are bounded whatever the corpus. A term needs ``least_share`` of the toxic rows, five at least,
-    odds and a likelihood ratio (G squared) against chance; beginnings that one longer term explains are dropped.
+    At most ``max_labelled`` labelled rows are read, once, and folded; near copies among them count once. Terms, exceptions and what
+    reaches the driver are those of this sample, so they are bounded whatever the corpus, and they don't depend on how rows are dealt
+    out. A term needs ``least`` toxic rows, odds and a likelihood ratio (G squared) against chance; beginnings that one
+    longer term explains are dropped.
     """
+    spark = docs.sparkSession
     sample = training_rows(labels, held_out_rows(F.col("doc_id")), max_labelled).toPandas()
-    counts = sample["toxic"].value_counts()
-    toxic, clean = int(counts.get(1, 0)), int(counts.get(0, 0))
+    # bounded: max_labelled pairs of numbers
+    rows = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int")), "doc_id")
+    rows = cut(map_batches(rows, _folded, FOLDED))
+    for least_hash in ("m1", "m2"):
+        rows = rows.groupBy(least_hash, "toxic").agg(F.min_by(F.struct("folded", "h", "m1", "m2"), "h").alias("r")).select("r.*", "toxic")
+    rows = cut(rows.select("folded", "toxic"))
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return Lexicon(coefficients=(20.0 if toxic else -20.0, 0.0, 0.0))
-    spark = docs.sparkSession
-    # bounded: max_labelled pairs of numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(sample)), "doc_id")
     terms = map_batches(rows, _terms, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    least = max(5, math.ceil(least_share * toxic))
     odds = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (clean + 1))
     share = toxic / (toxic + clean)
     n, pos, neg = F.col("pos") + F.col("neg"), F.col("pos"), F.greatest(F.col("neg"), F.lit(1e-9))
     evidence = 2 * (pos * F.log(pos / (n * share)) + neg * F.log(neg / (n * (1 - share))))
     chosen = terms.where(pos >= least).withColumn("odds", odds).where((F.col("odds") >= least_odds) & (evidence >= least_evidence))
-    found = chosen.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(max_terms).collect()
-    lexicon = Lexicon({r["term"]: float(r["odds"]) for r in _without_stumps(found)})
+    lexicon = Lexicon({r["term"]: float(r["odds"]) for r in _without_stumps(sorted(chosen.collect(), key=lambda r: r["term"]))})
     shipped = spark.sparkContext.broadcast(lexicon)
     phrases = map_batches(rows, lambda b: _phrases(b, shipped.value), "phrase string, pos long, neg long")
     phrases = phrases.groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pardon = F.log((F.col("neg") + 0.5) / (clean + 1)) - F.log((F.col("pos") + 0.5) / (toxic + 1))
     kept = phrases.where(F.col("neg") >= 3).withColumn("odds", pardon).where(F.col("odds") >= 1.0)
-    lexicon.exceptions = [r["phrase"] for r in kept.orderBy(F.desc("neg"), "phrase").limit(max_terms).collect()]
+    lexicon.exceptions = sorted(r["phrase"] for r in kept.collect())
     ready = spark.sparkContext.broadcast(lexicon)
-    points = map_batches(rows.select("text", "toxic"), lambda b: _points(b, ready.value), "x1 double, x2 double, y double").toPandas()
+    points = map_batches(rows, lambda b: _points(b, ready.value), "x1 double, x2 double, y double").toPandas()
     points = points.sort_values(["x1", "x2", "y"])  # so that sums don't depend on the order of partitions
     lexicon.coefficients = _logistic(points[["x1", "x2"]].to_numpy(), points["y"].to_numpy())
     return lexicon
 
 
+FOLDED = "folded string, toxic int, h long, m1 long, m2 long"
+
+
+def _folded(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Folded texts with a hash and two MinHash values of their five-word shingles, of which near copies share one mostly."""
+    out = []
+    for text, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
+        folded = fold(text)
+        words = folded.encode().split()
+        grams = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
+        least = [min(xxhash.xxh64_intdigest(g, seed) for g in grams) for seed in (1, 2)]
+        numbers = [int(np.uint64(x).astype(np.int64)) for x in (xxhash.xxh64_intdigest(folded.encode()), *least)]
+        out.append((folded, toxic, *numbers))
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["folded", "toxic", "h", "m1", "m2"])
+
+
 def _without_stumps(found: list) -> list:
     """Terms without the beginnings that a single longer term mostly stands behind: those say no more than it does."""
     longest: dict[str, int] = {}
@@ -153,16 +174,11 @@ def _without_stumps(found: list) -> list:
 
 
 def _terms(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Documents with each word and each beginning of 4 to 7 letters, by label; equal texts of a batch count once."""
+    """Documents with each word and each beginning of 4 to 7 letters, by label."""
     count: dict[str, list[int]] = {}
-    seen: set[tuple[str, int]] = set()
-    for text, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
-        folded = fold(text)
-        if (folded, toxic) in seen:
-            continue
-        seen.add((folded, toxic))
+    for folded, toxic in zip(column(batch, "folded"), column(batch, "toxic"), strict=True):
         words = set(folded.split())
-        found = {f" {w} " for w in words if len(w) < 40}
+        found = {f" {w} " for w in words}
         found.update(f" {w[:n]}" for w in words for n in range(4, min(8, len(w))))
         for term in found:
             count.setdefault(term, [0, 0])[1 - toxic] += 1
@@ -183,8 +199,8 @@ def _machine(lexicon: Lexicon):
 def _phrases(batch: pa.RecordBatch, lexicon: Lexicon) -> pa.RecordBatch:
     """Documents with each pair of neighbouring words of which one matches the lexicon, by label."""
     machine, count = _machine(lexicon), {}
-    for text, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
-        folded, found = fold(text), set()
+    for folded, toxic in zip(column(batch, "folded"), column(batch, "toxic"), strict=True):
+        found = set()
         for end, (size, _) in machine.iter(folded) if machine is not None else ():
             at = end - size + 1
             stop = folded.find(" ", at + 1)
@@ -200,7 +216,7 @@ def _phrases(batch: pa.RecordBatch, lexicon: Lexicon) -> pa.RecordBatch:
 
 def _points(batch: pa.RecordBatch, lexicon: Lexicon) -> pa.RecordBatch:
     machine = _machine(lexicon)
-    x = [figures(fold(t), machine) for t in column(batch, "text")]
+    x = [figures(folded, machine) for folded in column(batch, "folded")]
     return pa.RecordBatch.from_pydict({"x1": [a for a, _ in x], "x2": [b for _, b in x], "y": [float(t) for t in column(batch, "toxic")]})
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -136,6 +137,37 @@ def test_toxicity(spark):
     assert toxicity.assess(docs.limit(0), lexicon).count() == 0
 
 
+def test_scores_against_a_plain_scorer(spark, docs, rows):
+    """Every place of every term tried, the heaviest of a place taken unless an exception phrase is over it."""
+    lexicon = toxicity.Lexicon({" aa": 1.5, " b ": 0.7, " cab": 2.0, " ca ": 0.4, " é ": 1.0}, ["b ca", "aa b"], (-2.0, 0.8, 0.3))
+
+    def slow(text):
+        folded = toxicity.fold(text)
+        spans = [(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {p} )", folded)]
+        total = sum(
+            max((w for t, w in lexicon.weights.items() if folded.startswith(t, at)), default=0.0)
+            for at in range(len(folded)) if not any(a <= at < b for a, b in spans)
+        )
+        x = (math.log1p(total), math.log1p(100 * total / (len(folded.split()) + 20)))
+        return 1 / (1 + math.exp(2.0 - 0.8 * x[0] - 0.3 * x[1]))
+
+    lexicon.weights = {toxicity.fold(t).rstrip() + (" " if t[-1] == " " else ""): w for t, w in lexicon.weights.items()}
+    got = Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.assess(docs, lexicon).collect())
+    assert got == Counter((r[0], round(slow(r[1]), 9)) for r in rows) and len({s for _, s in got}) > 20
+
+
+def test_lexicon_is_that_of_the_rows(spark):
+    """However the rows are dealt out, and however often a text is copied."""
+    table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    docs, labels = table("documents").select("doc_id", "text"), table("labels")
+    one, many = (toxicity.fit(docs.repartition(n), labels) for n in (1, 16))
+    assert one == many and len(one.weights) > 3
+    toxic = [r["doc_id"] for r in labels.where("toxic = 1 AND crc32(CAST(doc_id AS STRING)) % 4 <> 2").limit(1).collect()]
+    copies = docs.where(F.col("doc_id").isin(toxic)).select(F.explode(F.sequence(F.lit(10**6), F.lit(10**6 + 300))).alias("doc_id"), F.concat("text", F.lit(" zz"), (F.col("doc_id") % 3).cast("string")).alias("text"))
+    copied = toxicity.fit(docs.union(copies), labels.select("doc_id", "toxic").union(copies.select("doc_id", F.lit(1))))
+    assert len(set(copied.weights) ^ set(one.weights)) <= 0.2 * len(one.weights) + 2
+
+
 def slow_features(text):
     text = text or ""
     w = WORD.findall(text)

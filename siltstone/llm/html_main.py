@@ -36,14 +36,15 @@ BLOCKS = frozenset(
     ).split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = "script|style|template|svg|math|object|canvas|audio|video|noscript|iframe|textarea|select"
+UNREAD = "script|style|template|iframe|textarea|select"
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<unread>{UNREAD})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=unread)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(class|id|role|data-main|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role|data-main|hidden|style)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -66,8 +67,8 @@ class Tree:
         return len(self.tag) - 1
 
 
-def parse(page: str) -> Tree:
-    """The tree of a whole page."""
+def parse(page: str, labelled: bool = False) -> Tree:
+    """The tree of a whole page; ``labelled`` reads the labels of pages that are made for training."""
     tree = Tree()
     stack = [tree.add(-1, "#page", [], None)]
     held: list[str] = []
@@ -120,8 +121,8 @@ def parse(page: str) -> Tree:
             value = name[2] or name[3] or name[4] or ""
             kind = name[1].lower()
             if kind == "data-main":
-                label = int(value)
-            elif kind == "hidden" or kind == "style" and "none" in value:
+                label = int(value) if labelled and value in ("0", "1") else label
+            elif kind == "hidden" or kind == "style" and _UNSEEN.search(value):
                 names.append("hidden")
             elif kind != "style":
                 names += [x.lower() for x in _PARTS.findall(value)]
@@ -188,7 +189,7 @@ def train(pages: Iterable[str], prior: float = 0.5) -> Model:
     """Counts over pages whose elements bear ``data-main="0"`` or ``"1"``; an element without it has its parent's label."""
     seen, n, edges = {}, Counter(), {}
     for page in pages:
-        tree = parse(page)
+        tree = parse(page, labelled=True)
         labels = []
         for node, label in enumerate(tree.label):
             labels.append(label if label is not None else labels[tree.parent[node]] if node else 0)
@@ -272,6 +273,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterable[str]:
             main += outside(draw.choice(list(NOT_MAIN)))
         if draw.random() < 0.2:
             main = outside(draw.choice(list(NOT_MAIN))) + main
+        if draw.random() < 0.1:
+            main = f'<noscript data-main="0">{words(3, 12)}</noscript>{main}'
+        if draw.random() < 0.2:
+            main += f'<p {draw.choice(["hidden", "style=display:none", "style=visibility:hidden"])} data-main="0">{words(3, 40)}</p>'
         if tag == "article" and draw.random() < 0.2:
             main = f"<div{named(MAIN)}>{main}</div>"
         main = f'<{tag}{names} data-main="1">{main}</{tag}>'

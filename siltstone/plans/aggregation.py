@@ -1,4 +1,4 @@
-"""Aggregates, grouping sets, ordered and approximate aggregates."""
+"""Aggregates, grouping sets and ordered aggregates; products and estimates are in ``operators``."""
 
 from __future__ import annotations
 
@@ -65,7 +65,6 @@ sql_query("any_value", "SELECT l_returnflag, any_value(CASE WHEN l_returnflag =
 sql_query("agg_bool", "SELECT o_custkey, bool_and(o_totalprice > 1000) AS every_big, bool_or(o_orderstatus = 'P') AS some_p FROM orders GROUP BY o_custkey")
 sql_query("agg_bit", "SELECT l_returnflag, bit_and(l_orderkey) AS ba, bit_or(l_orderkey) AS bo, bit_xor(l_orderkey) AS bx FROM lineitem GROUP BY l_returnflag")
 sql_query("count_if", "SELECT l_returnflag, CAST(count_if(l_discount > 0.05) AS BIGINT) AS n FROM lineitem GROUP BY l_returnflag")
-sql_query("product", "SELECT n_regionkey, aggregate(collect_list(n_nationkey + 1), 1D, (a, x) -> a * x) AS p FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, product(n_nationkey + 1) AS p FROM nation GROUP BY n_regionkey")
 sql_query("geometric_mean", "SELECT p_brand, round(exp(avg(ln(p_retailprice))), 5) AS g, round(sum(p_retailprice * p_size) / sum(p_size), 5) AS w FROM part GROUP BY p_brand", "SELECT p_brand, round(geomean(p_retailprice), 5) AS g, round(sum(p_retailprice * p_size) / sum(p_size), 5) AS w FROM part GROUP BY p_brand")
 sql_query("sem", "SELECT o_orderstatus, round(stddev_pop(o_totalprice) / sqrt(count(o_totalprice)), 5) AS s FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, round(sem(o_totalprice), 5) AS s FROM orders GROUP BY o_orderstatus")
 sql_query(
@@ -79,13 +78,3 @@ sql_query(
     "SELECT o_orderstatus, round(entropy(o_orderpriority), 6) AS e FROM orders GROUP BY o_orderstatus",
 )
 sql_query("agg_distinct_sum", "SELECT o_orderstatus, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS s FROM orders GROUP BY o_orderstatus")
-sql_query(
-    "approx_distinct",
-    "SELECT l_returnflag, abs(approx_count_distinct(l_partkey, 0.01) - count(DISTINCT l_partkey)) <= 0.05 * count(DISTINCT l_partkey) AS close, abs(hll_sketch_estimate(hll_sketch_agg(l_suppkey, 14)) - count(DISTINCT l_suppkey)) <= 0.05 * count(DISTINCT l_suppkey) + 1 AS sketch_close FROM lineitem GROUP BY l_returnflag",
-    "SELECT DISTINCT l_returnflag, true AS close, true AS sketch_close FROM lineitem",
-)
-sql_query(
-    "approx_quantile",
-    "SELECT o_orderstatus, abs(approx_percentile(o_totalprice, 0.5, 10000) - percentile(o_totalprice, 0.5)) < 0.02 * percentile(o_totalprice, 0.5) AS close FROM orders GROUP BY o_orderstatus",
-    "SELECT DISTINCT o_orderstatus, true AS close FROM orders",
-)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +91,7 @@ def summarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaping.summarize(table(spark, sf_dir, "part"), exact=True).select("column_name", "column_type", "nulls", "row_count", "distinct_count")
 
 
-@frame_query("PIVOT (SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem) ON l_linestatus USING CAST(sum(l_linenumber) AS BIGINT) GROUP BY l_returnflag")
+@frame_query("SELECT l_returnflag, CAST(sum(l_linenumber) FILTER (l_linestatus = 'F') AS BIGINT) AS F, CAST(sum(l_linenumber) FILTER (l_linestatus = 'O') AS BIGINT) AS O FROM lineitem GROUP BY l_returnflag")
 def pivot_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pivot whose columns are looked up."""
     return shaping.pivot_values(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_linestatus", "l_linenumber")
@@ -147,11 +149,25 @@ def vec_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(rows, rows.where("vec_id % 20 = 0")).select("query", "vec_id", F.round("similarity", 5).alias("similarity"))
 
 
-@frame_query("SELECT event_id, user_id % 4 = 1 AS inside, CAST(167772160 + (user_id % 4) * 65536 + event_id % 256 AS BIGINT) AS number FROM events")
+@frame_query()
+def vec_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index of lists; the tests hold its recall against the exact search."""
+    rows = table(spark, sf_dir, "embeddings")
+    return search.VectorLists(rows, lists=16).nearest(rows.where("vec_id % 20 = 0")).select("query", "vec_id", F.round("similarity", 5).alias("similarity"))
+
+
+@frame_query(
+    "SELECT event_id, user_id % 4 = 1 AS inside, CAST(167772160 + (user_id % 4) * 65536 + event_id % 256 AS BIGINT) AS number, "
+    "printf('20010db8%024x', event_id % 65536) AS hex, event_id % 65536 < 256 AS inside6, CAST(NULL AS BIGINT) AS none FROM events"
+)
 def inet_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether made-up addresses are in a network."""
+    """Whether made-up addresses of both versions are in a network."""
     address = F.concat_ws(".", F.lit("10"), F.col("user_id") % 4, F.lit("0"), F.col("event_id") % 256)
-    return table(spark, sf_dir, "events").select("event_id", network.in_network(address, "10.1.0.0/16").alias("inside"), network.address_number(address).alias("number"))
+    six = F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("event_id") % 65536)))
+    return table(spark, sf_dir, "events").select(
+        "event_id", network.in_network(address, "10.1.0.0/16").alias("inside"), network.address_number(address).alias("number"),
+        network.address_hex(six).alias("hex"), network.in_network(six, "2001:db8::/120").alias("inside6"), network.address_number(F.lit("300.1.1.1")).alias("none"),
+    )
 
 
 @frame_query("SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y at %H:%M') AS text, CAST(strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d') AS DATE) AS day, [regexp_extract(o_orderpriority, '[A-Z]+')] AS words FROM orders")
@@ -190,14 +206,54 @@ def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json(spark, path, rows.schema).where("event_type = 'view'").select("event_id", "ts", "value")
 
 
+def _delta_commit(df: DataFrame, path: str, version: int, by: tuple[str, ...] = (), removed: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Files and a log entry as a Delta writer leaves them, for the scans below to read; the paths of the files."""
+    spark = df.sparkSession
+    folder = f"data-{version}" if not by else ""
+    before = set() if version == 0 or folder else {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").distinct().collect()}
+    df.write.mode("append").partitionBy(*by).parquet(f"{path}/{folder}")
+    rows = spark.read.parquet(f"{path}/{folder}").select("_metadata.file_path", "_metadata.file_size", *by).distinct().collect()  # a row for each file
+    paths = {r["file_path"]: r["file_path"].split(f"{path}/", 1)[-1] for r in rows if r["file_path"] not in before}
+    actions = [
+        {"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}},
+        {"metaData": {"id": "t", "format": {"provider": "parquet", "options": {}}, "schemaString": df.schema.json(), "partitionColumns": list(by), "configuration": {}}},
+        *({"remove": {"path": p, "dataChange": True}} for p in removed),
+        *({"add": {"path": paths[r["file_path"]], "partitionValues": {c: str(r[c]) for c in by}, "size": r["file_size"], "modificationTime": 0, "dataChange": True}} for r in rows if r["file_path"] in paths),
+    ]
+    log = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_delta_log/{version:020d}.json")
+    out = log.getFileSystem(spark._jsc.hadoopConfiguration()).create(log, False)
+    out.write(bytearray("\n".join(map(json.dumps, actions)).encode()))
+    out.close()
+    return tuple(paths.values())
+
+
 @frame_query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def scan_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers through a Delta table."""
     path = new_folder(spark)
-    files.write_delta(table(spark, sf_dir, "supplier"), path)
+    _delta_commit(table(spark, sf_dir, "supplier"), path, 0)
     return files.read_delta(spark, path).where("s_acctbal > 0")
 
 
+@frame_query("SELECT * FROM customer WHERE c_mktsegment <> 'BUILDING'")
+def scan_delta_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers through a Delta table of a folder for each segment, whose files have the same names; one segment is pruned."""
+    path = new_folder(spark)
+    _delta_commit(table(spark, sf_dir, "customer").coalesce(1), path, 0, ("c_mktsegment",))
+    return files.read_delta(spark, path).where("c_mktsegment <> 'BUILDING'")
+
+
+@frame_query("SELECT 0 AS version, count(*) AS n, sum(o_orderkey)::BIGINT AS s FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 1, count(*), sum(o_orderkey)::BIGINT FROM orders UNION ALL SELECT 2, count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey % 2 = 1")
+def scan_delta_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a Delta table: half of the orders, all, the other half."""
+    path, orders = new_folder(spark), table(spark, sf_dir, "orders")
+    first = _delta_commit(orders.where("o_orderkey % 2 = 0"), path, 0)
+    _delta_commit(orders.where("o_orderkey % 2 = 1"), path, 1)
+    _delta_commit(orders.limit(0), path, 2, removed=first)
+    found = [files.read_delta(spark, path, v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.sum("o_orderkey").alias("s")) for v in range(3)]
+    return found[0].union(found[1]).union(found[2])
+
+
 @frame_query("SELECT column_name AS col_name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE 'timestamp_ntz' END AS data_type FROM (DESCRIBE SELECT * FROM orders)")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names and types of a query's columns, from analysis alone."""
@@ -212,11 +268,65 @@ def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(text, args={"least": 150000, "priority": "1-URGENT"}, orders=table(spark, sf_dir, "orders"))
 
 
-@frame_query("SELECT count(*) AS n, min(page_id) AS lo, max(page_id) AS hi FROM pages")
+@frame_query("SELECT page_id, CAST(i AS INT) AS nth FROM (SELECT page_id, unnest(range(1, page_id % 4 + 1)) AS i FROM pages)")
 def repeat_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts that an explode of repeated rows leaves as they are."""
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.array_repeat(F.lit(1), 3)).alias("x"))
-    return rows.agg((F.count("*") / 3).cast("long").alias("n"), F.min("page_id").alias("lo"), F.max("page_id").alias("hi"))
+    """Each row as many times as a column of it says, none among them."""
+    times = F.when(F.col("page_id") % 4 > 0, F.sequence(F.lit(1), (F.col("page_id") % 4).cast("int")))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(times).alias("nth"))
+
+
+@frame_query()
+def now_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session's date and time, once for the whole query; the tests hold them against the clock."""
+    return spark.sql("SELECT now() AS now, current_timestamp() AS stamp, current_date() AS today, localtimestamp() AS local, CAST(now() AS DATE) = current_date() AS same_day")
+
+
+@frame_query("SELECT n_regionkey, product(n_nationkey + 1) AS p FROM nation GROUP BY n_regionkey")
+def product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products, merged from partial ones."""
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.product(F.col("n_nationkey") + 1).alias("p"))
+
+
+@frame_query(
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%d/%m/%y') AS b, strftime(o_orderdate, '%b %B %a %A %j') AS c, strftime(o_orderdate, '%I %p') AS d, "
+    "strftime(o_orderdate, '%G-W%V ') || (dayofweek(o_orderdate) + 1)::VARCHAR || ' ' || right(strftime(o_orderdate, '%G'), 2) || ' ' || lpad(((dayofyear(o_orderdate) - 1) // 7 + 1)::VARCHAR, 2, '0') AS e FROM orders"
+)
+def to_char_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text by PostgreSQL's templates, ISO weeks among them."""
+    templates = {"a": "YYYY-MM-DD HH24:MI:SS", "b": "DD/MM/YY", "c": "Mon Month Dy Day DDD", "d": "HH12 AM", "e": 'IYYY-"W"IW D IY WW'}
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(postgres.to_char(F.col("o_orderdate"), t).alias(n) for n, t in templates.items()))
+
+
+@frame_query("SELECT CAST(strptime('15/01/2024', '%d/%m/%Y') AS DATE) AS a, CAST(strptime('2024-01-15', '%Y-%m-%d') AS DATE) AS b")
+def to_date_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as dates."""
+    return spark.range(1).select(postgres.to_date(F.lit("15/01/2024"), "DD/MM/YYYY").alias("a"), postgres.to_date(F.lit("2024-01-15"), "YYYY-MM-DD").alias("b"))
+
+
+@frame_query("SELECT strptime('2024-01-15 10:30:00', '%Y-%m-%d %H:%M:%S') AS a, try_strptime('nonsense', '%Y') IS NULL AS b")
+def to_timestamp_fmt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as timestamps; null where a text has another form."""
+    return spark.range(1).select(postgres.to_timestamp(F.lit("2024-01-15 10:30:00"), "YYYY-MM-DD HH24:MI:SS").alias("a"), postgres.try_to_timestamp(F.lit("nonsense"), "YYYY").isNull().alias("b"))
+
+
+@frame_query("SELECT CAST('12345.67' AS DOUBLE) AS a, CAST(replace('12,345.67', ',', '') AS DOUBLE) AS b, -12.5::DOUBLE AS c, CAST(NULL AS DOUBLE) AS d")
+def to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as numbers, by template; null where a text isn't of it."""
+    of = lambda text, template=None: postgres.to_number(F.lit(text), template)
+    return spark.range(1).select(of("12345.67").alias("a"), of("12,345.67", "99,999.99").alias("b"), of("12.5-", "99.9S").alias("c"), of("1x", "99").alias("d"))
+
+
+@frame_query()
+def approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts and suppliers, estimated by sketches; the tests hold them against the exact counts."""
+    parts = F.approx_count_distinct("l_partkey", 0.01).alias("parts")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(parts, F.hll_sketch_estimate(F.hll_sketch_agg("l_suppkey", F.lit(14))).alias("suppliers"))
+
+
+@frame_query()
+def approx_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated quantiles; the tests hold their ranks against the exact ones."""
+    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.percentile_approx("o_totalprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.9)), 10_000).alias("q"))
 
 
 _HOURLY = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS s FROM events GROUP BY 1, 2"
@@ -246,3 +356,30 @@ def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream without repeats, beside a static table."""
     rows = windows.unique(windows.events(spark, f"{sf_dir}/events.parquet"), ["event_id"])
     return windows.settle(windows.enriched(rows, table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "c_name"), "user_id").select("event_id", "user_id", "c_name"))
+
+
+@frame_query("SELECT start, count(*) AS n, round(sum(value), 4) AS s FROM (SELECT value, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start FROM events) GROUP BY start")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of an hour that begin every half hour."""
+    rows = windows.events(spark, f"{sf_dir}/events.parquet")
+    return _plain_times(windows.settle(windows.tumbling(rows, "1 hour", [], slide="30 minutes"), mode="complete"))
+
+
+@frame_query(
+    """
+    SELECT user_id, min(ts) AS start, count(*) AS n FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))
+    GROUP BY user_id, s
+    """
+)
+def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user, closed by ten minutes without an event; all of them, so in complete mode."""
+    return _plain_times(windows.settle(windows.sessions(windows.events(spark, f"{sf_dir}/events.parquet"), "10 minutes"), mode="complete"))
+
+
+@frame_query("SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOURS WHERE a.event_type = 'view' AND b.event_type = 'click'")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks of one stream within six hours of a view of another."""
+    rows = lambda kind, name: windows.events(spark, f"{sf_dir}/events.parquet").where(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
+    return windows.settle(windows.matched(rows("view", "a"), rows("click", "b"), "user_id", "6 hours").select("a", "b"))

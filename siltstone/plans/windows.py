@@ -42,8 +42,12 @@ sql_query(
 )
 sql_query(
     "win_exclude",
-    "SELECT event_id, round((sum(value) OVER w) - value, 4) AS others FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)",
-    "SELECT event_id, round(coalesce(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW), 0), 4) AS others FROM events",
+    """
+    SELECT event_id, CASE WHEN n > IF(v IS NULL, 0, 1) THEN round(s - coalesce(v, 0), 4) END AS others FROM (
+      SELECT event_id, v, sum(v) OVER w AS s, count(v) OVER w AS n FROM (SELECT *, CASE WHEN event_type <> 'view' THEN value END AS v FROM events)
+      WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
+    """,
+    "SELECT event_id, round(sum(CASE WHEN event_type <> 'view' THEN value END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW), 4) AS others FROM events",
 )
 sql_query(
     "qualify",

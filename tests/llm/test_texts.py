@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 from math import comb
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -281,20 +282,50 @@ def test_decontamination(docs, rows, no_docs, spark):
     assert decontaminate.contamination(no_docs, benchmark).count() == 0
 
 
-def test_blocks_of_the_benchmark_agree(docs, rows, spark, monkeypatch):
+def test_blocks_of_the_benchmark_agree(docs, rows, spark):
     source = next(r[1] for r in rows if r[1] and len(r[1].split()) >= 80).split()
     items = [(i, " ".join(source[i : i + 14])) for i in range(0, 60, 5)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    blocks = decontaminate.blocks
-    monkeypatch.setattr(decontaminate, "blocks", lambda b: blocks(b, block_bytes=100))
-    assert Counter(map(tuple, decontaminate.contamination(docs, benchmark).collect())) == Counter(slow_hits(rows, items))
+    assert decontaminate._packed(benchmark.selectExpr("item_id", "CAST(text AS BINARY) AS text"), "item_id", 100).count() > 4
+    assert Counter(map(tuple, decontaminate.contamination(docs, benchmark, block_bytes=100).collect())) == Counter(slow_hits(rows, items))
 
 
-def test_longest_match():
-    items = decontaminate.Items([1, 2], [[1, 2, 3, 4], [3, 4]], {b"a": 1, b"b": 2, b"c": 3, b"d": 4})
-    shard = decontaminate.Shard([b"x a b c y a b c d".split(), b"a b c d".split()], items)
-    assert shard.longest([1, 2, 3, 4]) == (4, [5, 10])
-    assert shard.places([1, 2, 3]) == [1, 5, 10]
+def test_filter_loses_nothing(docs, rows, spark):
+    """Every document with a hit is read against the items, and few others."""
+    source = next(r[1] for r in rows if r[1] and len(r[1].split()) >= 80).split()
+    items = [(1, " ".join(source[:30])), (2, " ".join(source[40:44]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    read = [(r["n_words"], r["text"] is not None) for r in decontaminate.read_against(docs, benchmark).collect()]
+    hit = sum(h[-1] for h in slow_hits(rows, items))
+    assert hit <= sum(k for _, k in read) <= hit + 3 and len(read) == len(rows)
+
+
+def test_longest_matches(spark):
+    """Against all pairs of places, beyond any number of words."""
+    draw = random.Random(6)
+    item = [f"w{i}" for i in range(400)]
+    texts = {1: ["x", *item[100:350], "y", *item[0:20]], 2: item[390:] * 3, 3: item[5:15], 4: ["z"] * 30, 5: [*item[20:31], *item[20:33]]}
+    items = {7: item, 8: [draw.choice("abc") for _ in range(50)], 9: item[200:230]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    want = {}
+    for d, t in texts.items():
+        for i, w in items.items():
+            best = max((next((n for n, (a, b) in enumerate(zip(t[p:], w[q:], strict=False)) if a != b), min(len(t) - p, len(w) - q)) for p in range(len(t)) for q in range(len(w))), default=0)
+            if best >= 10:
+                want[d, i] = best
+    got = decontaminate.longest_matches(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]): r["length"] for r in got} == want and want[1, 7] == 250
+    for r in got:
+        assert texts[r["doc_id"]][r["doc_at"] :][: r["length"]] == items[r["item_id"]][r["item_at"] :][: r["length"]]
+
+
+def test_suffix_array():
+    draw = np.random.default_rng(4)
+    tokens = draw.integers(0, 3, 300)
+    found = decontaminate.suffix_array(tokens, np.arange(300), 10).tolist()
+    assert sorted(found) == list(range(300))
+    assert all(tokens[a : a + 10].tolist() <= tokens[b : b + 10].tolist() for a, b in zip(found, found[1:], strict=False))
 
 
 def test_entities_are_decoded_once():

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.sources.shared import cut, shared_dir, shared_uri  # noqa: F401
+from siltstone.sources.shared import arrow_store, cut, shared_dir, shared_uri  # noqa: F401
 
 #: A word is a run of characters other than these, in the patterns of Java, RE2 and Python alike.
 SPACE = r"\x20\x09-\x0D"

@@ -6,7 +6,8 @@ below them pairs of nodes are walked together, four bits at a time: the differin
 is dropped as soon as they exceed the budget. A node with more than ``max_node`` fingerprints is not given to one
 task: its pairs of child nodes become groups of their own, again and again until they are small. Each task returns
 a star for each set of linked fingerprints it sees; alternating large and small stars join the sets of all tasks.
-Equal fingerprints are one trie leaf, so copies are never paired.
+Equal fingerprints are one trie leaf, so copies are never paired. Rows get their component by a join on the fingerprint, of which
+one may be that of very many rows (all empty texts, a third of the corpus); AQE splits that partition, as the other side has one row of it.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows are returned as often as they come; the component of a row is the smallest doc_id other than null

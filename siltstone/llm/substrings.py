@@ -5,10 +5,13 @@ neighbouring windows mostly do too. Each batch of some megabytes counts the docu
 of cells, sent as the cells that aren't zero; the sketches are merged segment by segment, and what goes on is one bit
 a cell: whether two documents or more may share it. A cell counts too many, never too few, so no repeated window is lost.
 
-Second pass: only windows whose two cells are set are grouped, exactly, by 96 bits of hashes of all their words. Within a batch
+Second pass: only windows whose two cells are set are grouped, by two hashes of all their words (96 bits, each from a word
+hash of its own, so that two words that collide in one don't in the other). Texts that differ are taken for equal with a probability of
+2^-96 a pair of windows: below one in a thousand for all pairs of 10^13 windows. Within a batch
 a window is kept for its smallest doc_id alone, the batch's other documents having lost it already, so a passage that
-very many documents share is one row a batch. A window over all such rows gives the smallest doc_id of each, and the
-documents that aren't it lose their words.
+many documents share is one row a batch. A window over such rows gives the smallest doc_id of each, and the
+documents that aren't it lose their words. Passages that many documents share (a third line of bits, from ``MANY`` on) are dealt out to
+``SALTS`` tasks, and what each of these finds smallest is compared once more.
 
 The sketch has four cells for each hash expected, up to ``MOST_CELLS``; with more data than that it lets more windows
 through to the exact pass, and is still right.
@@ -31,12 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import column, map_batches, parts
+from siltstone.llm.common import column, map_batches
 
 WINDOW = 50
 GRAM = 10
 SEGMENT = 1 << 20
 MOST_CELLS = 1 << 30
+#: Documents from which on a passage is one of many.
+MANY = 250
+SALTS = 64
 NO_ID = (1 << 63) - 1
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
@@ -81,6 +87,7 @@ class Batch:
 
     def __init__(self, ids: list, texts: list):
         # a document's words are held as hashes only
+        self.texts = texts
         hashes = [np.fromiter(map(xxhash.xxh64_intdigest, (t or b"").split()), np.uint64) for t in texts]
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
@@ -91,6 +98,13 @@ class Batch:
         self.at = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner)  # the window's start within its document
         self.place = self.at + self.first[self.doc]
 
+    def second(self, docs: np.ndarray) -> np.ndarray:
+        """Other hashes of the words of some documents, at their places; zeros elsewhere."""
+        out = np.zeros(len(self.hashes), np.uint64)
+        for d in docs.tolist():
+            out[self.first[d] : self.first[d + 1]] = np.fromiter((xxhash.xxh3_64_intdigest(w, 7) for w in self.texts[d].split()), np.uint64)
+        return out
+
     def anchors(self) -> np.ndarray:
         """For each window the least hash of its runs of ``GRAM`` words, mixed again."""
         if not len(self.place):
@@ -103,7 +117,7 @@ def _cells(anchor: np.ndarray, width: int) -> list[np.ndarray]:
     return [(anchor & np.uint64(width - 1)).astype(np.int64), ((anchor >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)]
 
 
-SKETCH = pa.schema([("line", pa.int32()), ("segment", pa.int32()), ("once", pa.binary()), ("more", pa.binary())])
+SKETCH = pa.schema([("line", pa.int32()), ("segment", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())])
 
 
 def _sketched(width: int):
@@ -125,20 +139,20 @@ def _sketched(width: int):
             for s in np.unique(segment).tolist():
                 mine = segment == s
                 inside, count = (cell[mine] % SEGMENT).astype(np.uint32), n[mine]
-                rows.append({"line": line, "segment": s, "once": inside[count == 1].tobytes(), "more": inside[count > 1].tobytes()})
+                rows.append({"line": line, "segment": s, "cells": inside.tobytes(), "n": np.minimum(count, MANY).astype(np.uint8).tobytes()})
         return pa.RecordBatch.from_pylist(rows, schema=SKETCH)
 
     return run
 
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
-    """One segment's cells, summed over the batches' sketches."""
-    count = np.zeros(SEGMENT, np.uint8)
-    for once, more in zip(frame["once"], frame["more"], strict=True):
-        cells = np.frombuffer(once, np.uint32)
-        count[cells] = np.minimum(count[cells] + 1, 2)
-        count[np.frombuffer(more, np.uint32)] = 2
-    return pd.DataFrame({"line": frame["line"].iloc[:1], "segment": frame["segment"].iloc[:1], "bits": [np.packbits(count > 1, bitorder="little").tobytes()]})
+    """One segment's cells, summed over the batches' sketches: which are shared, and which by many."""
+    count = np.zeros(SEGMENT, np.uint16)
+    for cells, n in zip(frame["cells"], frame["n"], strict=True):
+        cells = np.frombuffer(cells, np.uint32)
+        count[cells] = np.minimum(count[cells] + np.frombuffer(n, np.uint8), MANY)
+    shared, many = (np.packbits(count >= least, bitorder="little").tobytes() for least in (2, MANY))
+    return pd.DataFrame({"line": frame["line"].iloc[:1], "segment": frame["segment"].iloc[:1], "bits": [shared], "many": [many]})
 
 
 def cells_for(docs: DataFrame) -> int:
@@ -152,14 +166,16 @@ def cells_for(docs: DataFrame) -> int:
 
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """Two lines of bits, packed: the cells that two documents or more may share. Its size is ``width`` / 4 bytes, bounded."""
+    """Three lines of bits, packed: the cells of either kind that two documents or more may share, and those of the first that many may. Its size is bounded."""
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    counted = map_batches(rows, _sketched(width), "line int, segment int, once binary, more binary", split="text")
+    counted = map_batches(rows, _sketched(width), "line int, segment int, cells binary, n binary", split="text")
 
-    bits = np.zeros((2, width // 8), np.uint8)
-    for row in counted.groupBy("line", "segment").applyInPandas(_merged, "line int, segment int, bits binary").toLocalIterator():
+    bits = np.zeros((3, width // 8), np.uint8)
+    for row in counted.groupBy("line", "segment").applyInPandas(_merged, "line int, segment int, bits binary, many binary").toLocalIterator():
         at = row["segment"] * SEGMENT // 8
         bits[row["line"], at : at + SEGMENT // 8] = np.frombuffer(row["bits"], np.uint8)
+        if row["line"] == 0:
+            bits[2, at : at + SEGMENT // 8] = np.frombuffer(row["many"], np.uint8)
     return bits
 
 
@@ -169,7 +185,7 @@ def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 #: A window or a range: two hashes of all its words (96 bits), where it is, and in one number its start and, of lost
 #: ranges, its end. Few and narrow columns: these are the rows that the shuffle carries.
-FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("owner", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
+FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("owner", pa.int64()), ("tag", pa.int64()), ("span", pa.int64()), ("many", pa.bool_())])
 
 
 def _candidates(shipped, width: int):
@@ -182,7 +198,7 @@ def _candidates(shipped, width: int):
         if not len(maybe):
             return None
         place, doc = windows.place[maybe], windows.doc[maybe]
-        h1, h2 = (_rolling(windows.hashes, WINDOW, b)[place] for b in (_B1, _B2))
+        h1, h2 = (_rolling(h, WINDOW, b)[place] for h, b in ((windows.hashes, _B1), (windows.second(np.unique(doc)), _B2)))
         owner, tag = windows.ids[doc], np.array(column(batch, "tag"), np.int64)[doc]
         order = np.lexsort((owner, h2, h1))
         group = np.cumsum(np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]) - 1
@@ -204,6 +220,7 @@ def _candidates(shipped, width: int):
             np.r_[owner[ask], owner[begin]],
             np.r_[tag[ask], tag[begin]],
             np.r_[start[ask] << 32, (start[begin] << 32) + start[end] + WINDOW],
+            np.r_[_set(bits[2], _cells(anchor[maybe[ask]], width)[0]), np.zeros(len(begin), bool)],
         )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
@@ -216,10 +233,17 @@ def removed(docs: DataFrame) -> DataFrame:
     width = cells_for(docs)
     shipped = spark.sparkContext.broadcast(sketch(docs, width))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
-    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 int, owner long, tag long, span long", split="text")
+    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 int, owner long, tag long, span long, many boolean", split="text")
     start, stop = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    least = F.min(F.when(stop == 0, F.col("owner"))).over(W.partitionBy("h1", "h2"))
-    lost = found.withColumn("least", least).where((stop > 0) | (F.col("owner") > F.col("least")))
+    # a passage of many is dealt out to several tasks, each of which leaves the rows of its smallest doc_id to be compared once more
+    salt = F.when(F.col("many"), F.pmod(F.xxhash64("tag"), F.lit(SALTS))).otherwise(0).cast("int")
+    asked = F.when(stop == 0, F.col("owner"))
+    near = found.withColumn("salt", salt).withColumn("least", F.min(asked).over(W.partitionBy("h1", "h2", "salt")))
+    gone = (stop > 0) | (F.col("owner") > F.col("least"))
+    lost = near.where(gone).select("owner", "tag", "span")
+    if bool(shipped.value[2].any()):
+        left = near.where(F.col("many") & ~gone).withColumn("least", F.min("owner").over(W.partitionBy("h1", "h2")))
+        lost = lost.union(left.where(F.col("owner") > F.col("least")).select("owner", "tag", "span"))
     ends = F.when(stop > 0, stop).otherwise(start + WINDOW)
     return lost.groupBy("owner", "tag").agg(F.collect_list(F.struct(start.alias("start"), ends.alias("stop"))).alias("ranges"))
 

@@ -34,11 +34,10 @@ from operator import not_
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import cut, parts, shared_uri
+from siltstone.llm.common import arrow_store, cut, parts, shared_uri
 
 MAGIC = b"TOKSHRD1"
 END_ID = 2
@@ -245,7 +244,7 @@ class ShardWriter:
     """One shard file; documents come in the order of their keys, null ones last."""
 
     def __init__(self, folder: str, name: str, width: int):
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = arrow_store(folder)
         store.create_dir(path, recursive=True)
         self.file, self.name, self.width = store.open_output_stream(f"{path}/{name}"), name, width
         self.file.write(MAGIC)
@@ -288,7 +287,7 @@ class Shard:
     """A shard file that is open for reading."""
 
     def __init__(self, folder: str, name: str):
-        store, path = fs.FileSystem.from_uri(folder)
+        store, path = arrow_store(folder)
         self.file = store.open_input_file(f"{path}/{name}")
         size = self.file.size()
         tail = self.file.read_at(16, size - 16)
@@ -357,6 +356,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = END_ID, shard_bytes: in
     """Encode the texts of ``docs`` and write shards in ascending order of doc_id to a folder of their own in the shared one."""
     spark = docs.sparkSession
     folder = f"{shared_uri(spark)}/tokens-{uuid.uuid4().hex}"
+    arrow_store(folder)  # a store that tasks can't write to is told here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

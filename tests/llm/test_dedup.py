@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.llm import simhash, substrings
+from tests.llm.conftest import SCHEMA, corpus
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -119,6 +120,17 @@ def test_substrings(docs, rows):
     assert texts == Counter((i, " ".join(k)) for i, _, k in slow_kept(rows))
 
 
+def test_passages_of_many(spark):
+    """A passage of more documents than are counted, beside one of few, over many batches and salts."""
+    rows = corpus(seed=12, n=60)
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows += [(10_000 - i, f"own{i} words {shared} end", *rows[0][2:]) for i in range(substrings.MANY + 50)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(12)
+    assert substrings.sketch(docs, substrings.SEGMENT)[2].any()
+    want = Counter((i, len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, w, k in slow_kept(rows))
+    assert Counter(map(tuple, substrings.digests(docs).collect())) == want
+
+
 def test_sketch_loses_nothing(docs, rows):
     width = substrings.SEGMENT
     bits = substrings.sketch(docs, width)

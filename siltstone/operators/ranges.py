@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,24 @@ def _bin(value: Column, width: float) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
 
 
+#: A range has its bins at the first level where it touches about so many; a level's bins are as many times as wide as the one's below.
+_FAN = 16
+
+
 def point_in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float, on: list[str] | None = None) -> DataFrame:
-    """Pairs with ``low <= point <= high`` (and equal ``on`` columns). A range is repeated once for each bin it touches.
+    """Pairs with ``low <= point <= high`` (and equal ``on`` columns). No pair is compared that shares no bin.
 
-    ``width`` should be near the usual range's length: then a range has about two bins. No pair is compared that shares no bin.
+    ``width`` should be near the usual range's length: then a range has about two bins. Longer ranges have bins of a wider level, 17 at
+    most, and points are looked up at each level that there is, so a long range doesn't become very many rows. A full bin is split by AQE.
     """
     on = on or []
-    p = points.withColumn("__bin", _bin(F.col(point), width))
-    bins = F.sequence(_bin(F.col(low), width), _bin(F.col(high), width))
-    r = ranges.where(F.col(low) <= F.col(high)).withColumn("__bin", F.explode(bins))
-    return p.join(r, [*on, "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__bin")
+    level = F.greatest(F.ceil(F.log((F.col(high) - F.col(low)) / F.lit(width)) / F.lit(math.log(_FAN))) - 1, F.lit(0)).cast("int")
+    r = ranges.where(F.col(low) <= F.col(high)).withColumn("__level", F.when(F.col(high) - F.col(low) > width, level).otherwise(0))
+    levels = [x[0] for x in r.select("__level").distinct().collect()] or [0]  # some tens: a number's digits
+    scaled = lambda value: F.floor(value / (F.lit(width) * F.pow(F.lit(float(_FAN)), "__level"))).cast("long")
+    r = r.withColumn("__bin", F.explode(F.sequence(scaled(F.col(low)), scaled(F.col(high)))))
+    p = points.withColumn("__level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("__bin", scaled(F.col(point)))
+    return p.join(r, [*on, "__level", "__bin"]).where(F.col(point).between(F.col(low), F.col(high))).drop("__level", "__bin")
 
 
 def overlaps(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range: tuple[str, str], width: float, on: list[str] | None = None) -> DataFrame:

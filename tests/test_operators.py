@@ -42,11 +42,14 @@ def test_asof(spark, bucket):
 def test_ranges(spark):
     draw = random.Random(3)
     points = [(i, draw.randint(-500, 500) / 10) for i in range(150)] + [(999, None)]
-    spans = [(i, lo := draw.randint(-500, 500) / 10, lo + draw.choice([-1, 0, 0.5, 3, 40])) for i in range(60)] + [(998, None, 3.0)]
+    spans = [(i, lo := draw.randint(-500, 500) / 10, lo + draw.choice([-1, 0, 0.5, 2.5, 3, 40, 600, 1e6, 1e12])) for i in range(60)] + [(998, None, 3.0)]
     p = spark.createDataFrame(points, "p long, x double")
     s = spark.createDataFrame(spans, "s long, lo double, hi double")
     got = sorted((r["p"], r["s"]) for r in ranges.point_in_range(p, s, "x", "lo", "hi", 2.5).collect())
     assert got == sorted((i, j) for i, x in points for j, lo, hi in spans if None not in (x, lo, hi) and lo <= x <= hi)
+    assert ranges.point_in_range(p, s.limit(0), "x", "lo", "hi", 2.5).count() == 0
+    s = s.where("hi < lo + 100")
+    spans = [x for x in spans if x[1] is not None and x[2] < x[1] + 100]
     other = s.select(F.col("s").alias("q"), F.col("lo").alias("lo2"), (F.col("hi") + 1).alias("hi2"))
     got = sorted((r["s"], r["q"]) for r in ranges.overlaps(s, other, ("lo", "hi"), ("lo2", "hi2"), 2.5).collect())
     assert got == sorted((i, j) for i, a, b in spans for j, c, d in spans if None not in (a, c) and a <= b and c <= d + 1 and a <= d + 1 and c <= b)

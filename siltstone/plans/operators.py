@@ -7,12 +7,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions import network, postgres
+from siltstone.functions import network, postgres, registry
 from siltstone.operators import asof, ordering, ranges, search, shaping
 from siltstone.plans.catalog import frame_query
 from siltstone.sources import files
 from siltstone.sources.shared import new_folder
-from siltstone.sources.tables import table
+from siltstone.sources.tables import register, table
 from siltstone.streaming import windows
 
 
@@ -383,3 +383,29 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks of one stream within six hours of a view of another."""
     rows = lambda kind, name: windows.events(spark, f"{sf_dir}/events.parquet").where(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
     return windows.settle(windows.matched(rows("view", "a"), rows("click", "b"), "user_id", "6 hours").select("a", "b"))
+
+
+@frame_query("SELECT p_partkey, p_brand FROM part WHERE p_brand SIMILAR TO 'Brand#[1-3].*'")
+def filter_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern that has to match whole values, through a registered function."""
+    registry.install(spark)
+    register(spark, sf_dir, "part")
+    return spark.sql("SELECT p_partkey, p_brand FROM part WHERE similar_to(p_brand, 'Brand#[1-3].*')")
+
+
+@frame_query("SELECT event_id, time_bucket(INTERVAL 7 MINUTE, ts, TIMESTAMP '1970-01-01') AS start, DATE '2030-01-01' - CAST(ts AS DATE) AS days FROM events")
+def registered_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions by name in SQL text."""
+    registry.install(spark)
+    register(spark, sf_dir, "events")
+    return spark.sql("SELECT event_id, bucket_start(420, ts) AS start, age_in_days(CAST(ts AS DATE), DATE '2030-01-01') AS days FROM events")
+
+
+@frame_query(
+    "SELECT p_partkey, CAST(i AS INT) AS nth, a[i] AS part, n FROM (SELECT p_partkey, p_size, string_split(p_type, ' ') AS a, unnest(range(1, len(string_split(p_type, ' ')) + 1)) AS i FROM part), LATERAL (SELECT unnest(range(0, p_size + 1, 10)) AS n)"
+)
+def table_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table functions by name, beside each row."""
+    registry.install(spark)
+    register(spark, sf_dir, "part")
+    return spark.sql("SELECT p_partkey, w.nth, w.part, s.n FROM part, LATERAL split_rows(p_type, ' ') w, LATERAL series(0, p_size, 10) s")

@@ -13,7 +13,6 @@ sql_query("filter_between", "SELECT l_orderkey, l_linenumber, l_discount FROM li
 sql_query("filter_like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE 'S%' AND p_name NOT LIKE 'x!_%' ESCAPE '!'")
 sql_query("filter_ilike", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment ILIKE '%BUILD%' OR c_name ILIKE 'customer%1'")
 sql_query("filter_regex", "SELECT p_partkey, p_name FROM part WHERE p_name RLIKE '^[a-m].*[0-9]$'", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '^[a-m].*[0-9]$')")
-sql_query("filter_similar", "SELECT p_partkey, p_brand FROM part WHERE p_brand RLIKE '^(?:Brand#[1-3].*)$'", "SELECT p_partkey, p_brand FROM part WHERE p_brand SIMILAR TO 'Brand#[1-3].*'")
 sql_query("filter_null", "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS status FROM orders WHERE NULLIF(o_orderstatus, 'F') IS NULL OR NULLIF(o_orderpriority, '1-URGENT') IS NOT NULL")
 sql_query("is_distinct_from", "SELECT o_orderkey FROM orders WHERE NULLIF(o_orderstatus, 'F') IS DISTINCT FROM 'O'")
 sql_query(

@@ -122,8 +122,9 @@ class Encoder:
         if not self.splits:
             return self._plain([t or "" for t in texts])
         get, rows, missing = self.known.get, [], set()
-        for text in texts:
-            if text and any(a in text for a in self.added):
+        marked = {i for a in self.added for i, text in enumerate(texts) if text and a in text}
+        for i, text in enumerate(texts):
+            if i in marked:
                 rows.append((text, "", [], [], []))
                 continue
             pieces = (text or "").split(" ")

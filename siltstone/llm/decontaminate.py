@@ -294,7 +294,8 @@ def found(rows: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """(row, item_id, ranges, longest match) of every pair of a row of ``read_against`` and an item of which it has a window."""
     shards = _packed(rows.where("text IS NOT NULL").select("row", "text"), "row", SHARD_BYTES).withColumnsRenamed({"keys": "rows", "texts": "docs"})
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
-    blocks = cut(_packed(items, "item_id", block_bytes))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = cut(_packed(items.coalesce(-(-size // block_bytes) or 1), "item_id", block_bytes))
     few = blocks.count()
     # one block of bounded size goes to all tasks; more meet the shards pair by pair
     met = shards.crossJoin(F.broadcast(blocks)) if few == 1 else shards.hint("shuffle_replicate_nl").join(blocks)

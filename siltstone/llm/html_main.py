@@ -8,12 +8,14 @@ prior) from labelled pages: ``labelled_pages`` makes a fixed set with the layout
 ``train`` takes any other.
 
 Defined cases: a null or empty page, or one without main text, gives an empty text; unclosed elements end with the page,
-stray end tags are ignored; scripts, styles and comments are never text; repeated rows and null ids or urls are kept as they
-come; extra columns are ignored.
+stray end tags are ignored; scripts, styles and comments are never text; an attribute ``data-main`` of a page's own means nothing;
+very long pages are read whole; repeated rows and null ids or urls are kept as they come; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
@@ -287,6 +289,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> Iterable[str]:
         yield f"<html><head><title>{words(2, 8, '')}</title></head><body>{before}{main}{after}</body></html>"
 
 
+@functools.cache
+def standard() -> Model:
+    """The model of the fixed pages, trained once."""
+    return train(labelled_pages())
+
+
 def main_text(page: str | None, model: Model) -> str:
     """The main text of a page, a line for each block."""
     tree = parse(page or "")
@@ -296,7 +304,7 @@ def main_text(page: str | None, model: Model) -> str:
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``."""
-    shipped = pages.sparkSession.sparkContext.broadcast(model or train(labelled_pages()))
+    shipped = pages.sparkSession.sparkContext.broadcast(model or standard())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [main_text(h, shipped.value) for h in column(batch, "html")]

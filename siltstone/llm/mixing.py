@@ -9,7 +9,7 @@ first everywhere, so it is a small one as a rule, and the words taken are those
 
 Defined cases: a null text has size 0; a document of size 0 is never taken beyond the whole copies of its rate, which
 are no words; a null source is a source, the last one; repeated rows are drawn one by one; an empty table gives an
-empty mix; extra columns are ignored (in ``mix`` kept). Draws depend on the rows alone, so reruns agree.
+empty mix; very long texts are documents like any, at most twice taken; extra columns, of any name, are ignored (in ``mix`` kept). Draws depend on the rows alone, so reruns agree.
 """
 
 from __future__ import annotations

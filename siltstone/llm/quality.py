@@ -13,7 +13,8 @@ windows have one hash is sorted by the words themselves.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null language is a stratum of its own (pooled if
 small); a null doc_id is judged but never joined to a label; repeated rows are judged alike; ties at a cutoff are kept
-(only a ratio above it rejects); without labels only the base rule decides; extra columns are ignored.
+(only a ratio above it rejects); without labels only the base rule decides; very long texts are read whole, with arrays of their windows on
+the heap; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

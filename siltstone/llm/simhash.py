@@ -11,7 +11,8 @@ one may be that of very many rows (all empty texts, a third of the corpus); AQE
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero and link like any other;
 repeated rows are returned as often as they come; the component of a row is the smallest doc_id other than null
-that it reaches (null where there is none); an empty table gives an empty result; extra columns are ignored.
+that it reaches (null where there is none); very long texts are read whole; an empty table gives an empty result; extra columns, of any
+name, are ignored (in ``keep_one`` kept).
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ through to the exact pass, and is still right.
 
 Defined cases: a null or empty text has no words and nothing removed (the hash of nothing); a text of fewer than
 ``WINDOW`` words keeps them all; rows with equal doc_id don't remove each other's words; a null doc_id counts as larger than any
-other and removes nothing; extra columns are ignored.
+other and removes nothing; repeated rows have one id, so they keep what no smaller id has; very long texts are read whole, in a batch of
+their own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

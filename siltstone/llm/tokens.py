@@ -16,7 +16,7 @@ repeated task leaves a file that nothing refers to.
 
 Defined cases: a null or empty text is the end id alone; equal keys follow each other (ordered by a hash of the text)
 and keyed access returns all of them; null keys come last, are in the files and can't be asked for; an empty table makes no
-shard; extra columns are ignored.
+shard; very long texts are encoded whole, by one task; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ of the weights is normalised by the document's length and two figures are mapped
 
 Defined cases: a null or empty text has no match and scores what the intercept gives; a null doc_id is scored
 like any other and is never in the training rows; repeated rows get equal scores; without labels of both kinds the lexicon is
-empty and every score is the share of toxic labels (0 without labels); extra columns are kept or ignored.
+empty and every score is near 1 where all labels are toxic and near 0 else; terms of equal weight at one place count once; very long
+texts are read whole; an empty table gives an empty result; extra columns are kept or ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ hash of its own, so that two words that collide in one don't in the other). Text
 2^-96 a pair of windows: below one in a thousand for all pairs of 10^13 windows. Within a batch
 a window is kept for its smallest doc_id alone, the batch's other documents having lost it already, so a passage that
 many documents share is one row a batch. A window over such rows gives the smallest doc_id of each, and the
-documents that aren't it lose their words. Passages that many documents share (a third line of bits, from ``MANY`` on) are dealt out to
-``SALTS`` tasks, and what each of these finds smallest is compared once more.
+documents that aren't it lose their words. Passages that many documents share (a third line of bits, from ``MANY`` on) are no group of one
+task: a reading of the texts for them alone, one row a batch, is written, their smallest doc_ids come from partial minima and are joined back,
+a join that AQE splits.
 
 The sketch has four cells for each hash expected, up to ``MOST_CELLS``; with more data than that it lets more windows
 through to the exact pass, and is still right.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import column, map_batches
+from siltstone.llm.common import column, cut, map_batches
 
 WINDOW = 50
 GRAM = 10
@@ -43,7 +44,6 @@ SEGMENT = 1 << 20
 MOST_CELLS = 1 << 30
 #: Documents from which on a passage is one of many.
 MANY = 250
-SALTS = 64
 NO_ID = (1 << 63) - 1
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
@@ -186,11 +186,11 @@ def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
 
 #: A window or a range: two hashes of all its words (96 bits), where it is, and in one number its start and, of lost
 #: ranges, its end. Few and narrow columns: these are the rows that the shuffle carries.
-FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("owner", pa.int64()), ("tag", pa.int64()), ("span", pa.int64()), ("many", pa.bool_())])
+FOUND = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("owner", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
 
 
-def _candidates(shipped, width: int):
-    """Windows that may repeat: those of the batch's smallest doc_id to be compared, those of the others lost already, as ranges."""
+def _candidates(shipped, width: int, many: bool):
+    """Windows that may repeat: those of the batch's smallest doc_id to be compared, of passages of ``many`` or of the others; with the latter, as ranges, those of other documents, which are lost already."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         windows = Batch(column(batch, "doc_id"), column(batch, "text"))
@@ -207,9 +207,9 @@ def _candidates(shipped, width: int):
         least = np.empty(len(maybe), np.int64)
         least[order] = owner[order][first][group]
         lost = owner > least
-        ask = np.flatnonzero(~lost)
+        ask = np.flatnonzero(~lost & (_set(bits[2], _cells(anchor[maybe], width)[0]) == many))
         start = windows.at[maybe]
-        gone = np.flatnonzero(lost)
+        gone = np.flatnonzero(lost) if not many else np.zeros(0, np.int64)
         # windows of one document that follow each other closely lose one range
         split = np.r_[True, (doc[gone][1:] != doc[gone][:-1]) | (start[gone][1:] > start[gone][:-1] + WINDOW)] if len(gone) else np.zeros(0, bool)
         begin = gone[split]
@@ -221,7 +221,6 @@ def _candidates(shipped, width: int):
             np.r_[owner[ask], owner[begin]],
             np.r_[tag[ask], tag[begin]],
             np.r_[start[ask] << 32, (start[begin] << 32) + start[end] + WINDOW],
-            np.r_[_set(bits[2], _cells(anchor[maybe[ask]], width)[0]), np.zeros(len(begin), bool)],
         )
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
@@ -234,17 +233,14 @@ def removed(docs: DataFrame) -> DataFrame:
     width = cells_for(docs)
     shipped = spark.sparkContext.broadcast(sketch(docs, width))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tag"))
-    found = map_batches(rows, _candidates(shipped, width), "h1 long, h2 int, owner long, tag long, span long, many boolean", split="text")
+    read = lambda many: map_batches(rows, _candidates(shipped, width, many), "h1 long, h2 int, owner long, tag long, span long", split="text")
     start, stop = F.shiftright("span", 32).cast("int"), F.col("span").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    # a passage of many is dealt out to several tasks, each of which leaves the rows of its smallest doc_id to be compared once more
-    salt = F.when(F.col("many"), F.pmod(F.xxhash64("tag"), F.lit(SALTS))).otherwise(0).cast("int")
-    asked = F.when(stop == 0, F.col("owner"))
-    near = found.withColumn("salt", salt).withColumn("least", F.min(asked).over(W.partitionBy("h1", "h2", "salt")))
-    gone = (stop > 0) | (F.col("owner") > F.col("least"))
-    lost = near.where(gone).select("owner", "tag", "span")
+    least = F.min(F.when(stop == 0, F.col("owner"))).over(W.partitionBy("h1", "h2"))
+    lost = read(False).withColumn("least", least).where((stop > 0) | (F.col("owner") > F.col("least"))).select("owner", "tag", "span")
     if bool(shipped.value[2].any()):
-        left = near.where(F.col("many") & ~gone).withColumn("least", F.min("owner").over(W.partitionBy("h1", "h2")))
-        lost = lost.union(left.where(F.col("owner") > F.col("least")).select("owner", "tag", "span"))
+        shared = cut(read(True))
+        first = shared.groupBy("h1", "h2").agg(F.min("owner").alias("least"))
+        lost = lost.union(shared.join(first, ["h1", "h2"]).where(F.col("owner") > F.col("least")).select("owner", "tag", "span"))
     ends = F.when(stop > 0, stop).otherwise(start + WINDOW)
     return lost.groupBy("owner", "tag").agg(F.collect_list(F.struct(start.alias("start"), ends.alias("stop"))).alias("ranges"))
 

@@ -135,7 +135,8 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: floa
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     held = rows.where(~base_failed()).join(good, "doc_id", "left_semi")
-    held = held.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *(F.count_if(first_step() <= k).alias(f"k{k}") for k in range(1, len(CHAIN) + 1)))
+    held = held.select(F.col(stratum).alias("stratum"), first_step().alias("step"))
+    held = held.groupBy("stratum").agg(F.count("*").alias("n"), *(F.count_if(F.col("step") <= k).alias(f"k{k}") for k in range(1, len(CHAIN) + 1)))
     sums = [F.sum(c).alias(c) for c in held.columns[1:]]
     large = F.col("n") >= least
     counts = held.groupBy(large.alias("large"), F.when(large, F.col("stratum")).alias("stratum")).agg(*sums).collect()

@@ -37,7 +37,7 @@ from siltstone.llm.substrings import _B1, _mixed, _rolling
 WINDOW = 10
 SEGMENT = 1 << 20
 MOST_BITS = 1 << 28
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 8 << 20
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 8 << 20
 #: Rows (of two numbers) that are broadcast at most.
 MOST_BROADCAST = 1_000_000
 _KEPT = (string.ascii_letters + string.digits).encode()
@@ -286,7 +286,7 @@ def read_against(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "mark", "n_words", "text"])
 
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"), docs["text"].cast("binary").alias("text"))
-    read = map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, n_words long, text binary")
+    read = map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark long, n_words long, text binary", split="text", most_bytes=4 << 20)
     return cut(read).withColumn("row", F.monotonically_increasing_id())
 
 

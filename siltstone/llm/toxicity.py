@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, least: i
     sample = training_rows(labels, held_out_rows(F.col("doc_id")), max_labelled).toPandas()
     # bounded: max_labelled pairs of numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(sample, "doc_id long, toxic int")), "doc_id")
-    rows = cut(map_batches(rows, _folded, FOLDED))
+    rows = cut(map_batches(rows, _folded, FOLDED, split="text", most_bytes=2 << 20))
     for least_hash in ("m1", "m2"):
         rows = rows.groupBy(least_hash, "toxic").agg(F.min_by(F.struct("folded", "h", "m1", "m2"), "h").alias("r")).select("r.*", "toxic")
     rows = cut(rows.select("folded", "toxic"))
@@ -156,8 +156,8 @@ def _folded(batch: pa.RecordBatch) -> pa.RecordBatch:
     for text, toxic in zip(column(batch, "text"), column(batch, "toxic"), strict=True):
         folded = fold(text)
         words = folded.encode().split()
-        grams = [b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))]
-        least = [min(xxhash.xxh64_intdigest(g, seed) for g in grams) for seed in (1, 2)]
+        starts = range(max(1, len(words) - 4))
+        least = [min(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), seed) for i in starts) for seed in (1, 2)]
         numbers = [int(np.uint64(x).astype(np.int64)) for x in (xxhash.xxh64_intdigest(folded.encode()), *least)]
         out.append((folded, toxic, *numbers))
     kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

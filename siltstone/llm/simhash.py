@@ -36,6 +36,8 @@ STEP = 4
 SLICE = 500_000
 #: Pairs of nodes that a task looks at at once.
 PAIRS = 2_000_000
+#: Rows of one node that are paired at once.
+BLOCK = 256
 NO_ID = -(1 << 63)
 
 
@@ -103,10 +105,10 @@ def deepen(rows: DataFrame, depth: int, stop: int = 64) -> DataFrame:
     return rows.select(path.alias("path"), (F.col("err") + F.bit_count("m")).cast("int").alias("err"), side.cast("int").alias("side"), *kept)
 
 
-def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, depth: int, stop: int = 64, joined: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, depth: int, stop: int = 64, joined: Callable | None = None, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of linked rows, in arrays of bounded size; rows come sorted by group, side and r (unsigned).
 
-    The trie ends at depth ``stop``; below it all rows of a pair of nodes are paired. ``joined`` tells for a level and
+    The trie ends at depth ``stop``; below it all rows of a pair of nodes are paired, by blocks of ``BLOCK``. ``joined`` tells for a level and
     pairs of its nodes (their first rows) which pairs have nothing more to say.
     """
     n = len(r)
@@ -123,7 +125,9 @@ def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, d
         bits = min(STEP, stop - depth)
         if bits <= 0:
             if stop < 64:
-                levels.append((size, np.zeros(n, np.int8), np.r_[starts, n], starts))
+                blocks = np.flatnonzero((np.arange(n) - starts[node]) % BLOCK == 0)
+                levels.append((size, np.zeros(len(blocks), np.int8), np.searchsorted(blocks, np.r_[starts, n]), starts))
+                levels.append((np.diff(np.r_[blocks, n]), np.zeros(n, np.int8), np.r_[blocks, n], blocks))
             levels.append((size if stop == 64 else np.ones(n, np.int64), None, None, starts if stop == 64 else np.arange(n)))
             break
         code = ((r >> np.uint64(64 - depth - bits)) & np.uint64((1 << bits) - 1)).astype(np.int8)
@@ -144,7 +148,7 @@ def _walk(group: np.ndarray, side: np.ndarray, err: np.ndarray, r: np.ndarray, d
             continue
         count = np.diff(start)
         total = count[a] * count[b]
-        if len(a) > 1 and total.sum() > PAIRS:
+        if len(a) > 1 and total.sum() > most:
             half = len(a) // 2
             open_pairs += [(level, a[half:], b[half:], e[half:]), (level, a[:half], b[:half], e[:half])]
             continue

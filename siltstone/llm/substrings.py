@@ -195,6 +195,8 @@ def _candidates(shipped, width: int, many: bool):
         windows = Batch(column(batch, "doc_id"), column(batch, "text"))
         anchor, bits = windows.anchors(), shipped.value
         maybe = np.flatnonzero(np.logical_and.reduce([_set(bits[k], c) for k, c in enumerate(_cells(anchor, width))])) if len(anchor) else anchor
+        if many and len(maybe):
+            maybe = maybe[_set(bits[2], _cells(anchor[maybe], width)[0])]
         if not len(maybe):
             return None
         place, doc = windows.place[maybe], windows.doc[maybe]
